@@ -118,6 +118,9 @@ def judge(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col: s
     grams = _cells(F.col("__words"))
     total = F.aggregate(grams, F.lit(0.0), lambda a, g: a + F.get(of, g))
     n_grams = F.greatest(F.lit(1), 2 * F.col("n_words") - 1)
+    measured = base_features(docs, id_col, text_col).select("*", (total / n_grams).alias("llr")).drop("__words")
+    # a generator keeps later filters from being rewritten into the array expressions, again and again
+    out = measured.select(F.inline(F.array(F.struct(*measured.columns))))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
-    out = base_features(docs, id_col, text_col).select("*", (total / n_grams).alias("llr"), failed.alias("base_failed")).drop("__words")
+    out = out.withColumn("base_failed", failed)
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
