@@ -118,10 +118,15 @@ def encode(docs: DataFrame, vocabulary: str | None = None, pattern: str | None =
         starts[order] = np.cumsum(lens, dtype=np.int64) - lens
         length = np.zeros(len(words), np.int64)
         length[order] = lens
-        places, sizes = wx.expand(row["places"], np.uint32), np.array(row["sizes"], np.int64)
-        all_ids = flat[wx.ragged(starts[places], length[places])].astype("<u4").tobytes()
-        ends = np.concatenate([[0], np.cumsum(length[places])])[np.concatenate([[0], np.cumsum(sizes)])]
-        return pa.table([pa.array(row["ids"], arrow[0].type), pa.array(np.diff(ends), pa.int64()), pa.array([all_ids[4 * a : 4 * b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary())], schema=arrow)
+        places, sizes = wx.expand(row["places"], np.uint32), row["sizes"]
+        blobs, counts, at = [], [], 0
+        for size in sizes:
+            own = places[at : at + size]
+            at += size
+            ids = flat[wx.ragged(starts[own], length[own])]
+            counts.append(len(ids))
+            blobs.append(ids.astype("<u4").tobytes())
+        return pa.table([pa.array(row["ids"], arrow[0].type), pa.array(counts, pa.int64()), pa.array(blobs, pa.binary())], schema=arrow)
 
     return buckets.groupBy("bucket").cogroup(merged.groupBy("bucket")).applyInArrow(reassemble, schema)
 

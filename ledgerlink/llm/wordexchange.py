@@ -24,10 +24,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlink.staging import stage
+from ledgerlink.staging import new_path
 
 #: Characters of text after which a bucket is closed; a longer text has its own.
-BUCKET_CHARS = 8_000_000
+BUCKET_CHARS = 5_000_000
 
 
 def squeeze(a: np.ndarray, level: int = 3) -> bytes:
@@ -118,14 +118,23 @@ def _bucket(batches, tokenise, bucket_chars, schema) -> Iterator[pa.RecordBatch]
 def make_buckets(
     docs: DataFrame, id_col: str, text_col: str, tokenise: Callable[[str], list], flag: Column | None = None, bucket_chars: int = BUCKET_CHARS
 ) -> DataFrame:
-    """A staged table with a row for each bucket; null texts count as empty."""
+    """A table in the shared folder with a row for each bucket; null texts count as empty.
+
+    It is written as a bucketed table, so that the answers come to where the
+    buckets are and the buckets themselves are never shuffled.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     flag = F.lit(False) if flag is None else F.coalesce(flag, F.lit(False))
     plain = docs.select(F.col(id_col).alias("id"), flag.alias("flag"), F.col(text_col).cast("string").alias("text"))
     schema = bucket_schema(plain.schema["id"].dataType)
     arrow = to_arrow_schema(schema)
-    return stage(plain.mapInArrow(lambda batches: _bucket(batches, tokenise, bucket_chars, arrow), schema), "buckets")
+    made = plain.mapInArrow(lambda batches: _bucket(batches, tokenise, bucket_chars, arrow), schema)
+    spark = docs.sparkSession
+    path = new_path(spark, "buckets")
+    name = path.rsplit("/", 1)[-1].replace("-", "_")
+    made.write.format("parquet").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "bucket").option("path", path).saveAsTable(name)
+    return spark.table(name)
 
 
 def parts_of(df: DataFrame, parts: int | None = None) -> int:
