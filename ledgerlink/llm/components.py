@@ -15,8 +15,9 @@ def components(edges: DataFrame) -> DataFrame:
     label's own label, so that long chains shrink fast.  Rounds go on until
     nothing changes.  Nothing but the count of changes reaches the driver.
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
-    both = stage(both, "edges")
+    once = edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    once = stage(once, "edges")
+    both = once.unionByName(once.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = stage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
@@ -29,5 +30,5 @@ def components(edges: DataFrame) -> DataFrame:
         unstage(near)
         labels = new.drop("was")
         if not changed:
-            unstage(both)
+            unstage(once)
             return labels

@@ -172,7 +172,8 @@ def _compare_small(similarity: float):
                 for m, other, t in members[:i]:
                     if min(size, other) >= similarity * max(size, other) and roots.find(n) != roots.find(m) and alike(s, t) >= NEAR:
                         roots.join(n, m)
-                        edges.append((n, m))
+            # stars, as they are the same from all buckets that hold the same sets
+            edges += [(n, roots.find(n)) for n, _, _ in members if roots.find(n) != n]
             if len(edges) >= 10_000:
                 yield _edge_batch(edges)
                 edges = []
@@ -195,7 +196,7 @@ def _buckets(picked: DataFrame, label: str) -> DataFrame:
     """Rows key, run, node of buckets with two members or more, with the bucket's n: staged."""
     picked = picked.select("key", "run", "node")
     counts = stage(picked.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "counts")
-    return stage(picked.join(counts, "key"), label)
+    return stage(picked.join(counts.hint("merge"), "key"), label)
 
 
 def _blocks(rows: DataFrame, by: str, n: str, block: int) -> DataFrame:
@@ -222,7 +223,7 @@ def candidates(reps: DataFrame, runs: int, similarity: float) -> DataFrame:
         edges = more if edges is None else edges.unionByName(more)
 
     def brute(rows: DataFrame, key: str):
-        with_sets = rows.select(F.col(key).alias("key"), "node").distinct().join(sketch, "node").select("key", "node", "size", "sketch")
+        with_sets = rows.select(F.col(key).alias("key"), "node").distinct().join(sketch.hint("merge"), "node").select("key", "node", "size", "sketch")
         add(with_sets.repartition("key").sortWithinPartitions("key").mapInArrow(_compare_small(similarity), "a long, b long"))
 
     for level in range(1, LEVELS + 1):
@@ -230,8 +231,8 @@ def candidates(reps: DataFrame, runs: int, similarity: float) -> DataFrame:
         large = members.filter(F.col("n") > SMALL)
         if large.limit(1).count() == 0:
             return edges
-        # every bucket's member with the least hash is its pivot
-        pivots = stage(large.groupBy("key").agg(F.min_by("node", F.xxhash64("node", F.lit(level))).alias("pivot")), "pivots")
+        # every bucket's member with the least hash is its pivot; buckets that share members often share it, and its edges
+        pivots = stage(large.groupBy("key").agg(F.min_by("node", F.xxhash64("node")).alias("pivot")), "pivots")
         pivots = stage(pivots.join(sketch.select(F.col("node").alias("pivot"), F.col("sketch").alias("pivot_sketch")), "pivot"), "pivots")
         placed = stage(large.join(sketch, "node").select("key", "run", "node", "sketch"), "placed")
         near = placed.join(pivots, "key").select("key", "run", "node", "sketch", "pivot", "pivot_sketch").mapInArrow(_compare_pivot, "key long, run int, node long, pivot long, near double")
@@ -302,8 +303,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simila
     held = sets.filter(F.col("node").isNotNull())
     # the set's first row stands for all its copies
     nodes = stage(held.groupBy("node").agg(F.min("row").alias("rep"), F.min("id").alias("exact_id"), F.count("*").alias("n_copies")), "nodes")
-    reps = stage(held.join(nodes.select(F.col("rep").alias("row")), "row").select(F.col("row").alias("node"), "id", F.col("node").alias("digest"), "size", "sketch", "picks"), "reps")
-    found = components(candidates(reps, runs, similarity))
+    reps = stage(held.join(nodes.select(F.col("rep").alias("row")).hint("merge"), "row").select(F.col("row").alias("node"), "id", F.col("node").alias("digest"), "size", "sketch", "picks"), "reps")
+    found = components(candidates(reps, runs, similarity))  # joins of tables that grow are merge joins at every size
 
     # the candidates' whole sets, from their texts
     wanted = stage(found.join(reps.select("node", "id", "digest"), "node").select("id", "node", "digest", "label"), "wanted")
@@ -316,10 +317,10 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simila
             same = [k for k, s in enumerate(sets) if xxhash.xxh3_128_digest(s) == digest[k]]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for k in same], t) for x, t in ((node, pa.int64()), (label, pa.int64()), (sets, pa.binary()))], names=["node", "label", "tokens"])
 
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(wanted, "id").select("node", "digest", "label", "text")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(wanted.hint("merge"), "id").select("node", "digest", "label", "text")
     full = stage(texts.mapInArrow(whole, "node long, label long, tokens binary"), "full")
     sizes = stage(found.groupBy("label").agg(F.count("*").alias("n")), "sizes")
-    dealt = _blocks(full.join(sizes, "label"), "label", "n", BLOCK).select("group", "lo", "hi", "own", "node", "tokens")
+    dealt = _blocks(full.join(sizes.hint("merge"), "label"), "label", "n", BLOCK).select("group", "lo", "hi", "own", "node", "tokens")
     checked = stage(dealt.repartition("group").sortWithinPartitions("group").mapInArrow(_verify(similarity), "node long, root long, links long"), "checked")
     unstage(full)
     linked = components(checked.select(F.col("node").alias("a"), F.col("root").alias("b")))
@@ -330,7 +331,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simila
     least = named.groupBy("label").agg(F.min("exact_id").alias("class_id"))
     of = stage(named.select("node", "label").join(least, "label").join(links, "node").select(F.col("node").alias("rep"), "class_id", "n_links"), "classes")
     known = stage(nodes.join(of, "rep", "left").select("node", F.coalesce("class_id", "exact_id").alias("class_id"), "exact_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links")), "known")
-    out = sets.select("id", "node").join(known, "node", "left")
+    out = sets.select("id", "node").join(known.hint("merge"), "node", "left")
     return out.select(
         F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("exact_id", "id").alias("exact_id"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
     )
