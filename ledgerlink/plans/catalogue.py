@@ -1,4 +1,452 @@
 """Named queries over the driver's tables, and the SQL each is held against."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerlink.functions import normalize, similarity
+from ledgerlink.operators import blocking, decision, evaluate, features, profile, sampling
+from ledgerlink.plans import fixtures as fx
+from ledgerlink.sources import records as io
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+P, T_, R, RP, O = fx.PAIRS_SQL, fx.TRUTH_SQL, fx.RECORDS_SQL, fx.RECORD_PAIRS_SQL, fx.OWNED_SQL
+
+
+# ---- blocking on documents
+
+_DOC_TOKENS = """tok AS (SELECT DISTINCT doc_id AS rid, lang AS country, t AS tok FROM (
+    SELECT doc_id, lang, unnest(string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' ')) AS t FROM documents) z WHERE length(t) >= 5),
+wts AS (SELECT country, tok, ln((n + 1.0) / df) AS wt FROM (
+    SELECT country, tok, count(*) AS df FROM tok WHERE rid % 3 <> 0 GROUP BY 1, 2 HAVING count(*) <= 20) d
+    JOIN (SELECT country, count(DISTINCT rid) AS n FROM tok WHERE rid % 3 <> 0 GROUP BY 1) c USING (country)),
+scored AS (SELECT country, q.rid AS qid, x.rid AS rid, round(sum(wt), 6) AS score FROM (SELECT * FROM tok WHERE rid % 3 = 0) q
+    JOIN (SELECT * FROM tok WHERE rid % 3 <> 0) x USING (country, tok) JOIN wts USING (country, tok) GROUP BY 1, 2, 3)"""
+
+
+def _doc_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.split(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " "), " ")
+    tokens = fx.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("rid"), F.col("lang").alias("country"), F.explode(F.array_distinct(words)).alias("tok")).filter(F.length("tok") >= 5).distinct()
+    return blocking.score_pairs(tokens.filter("rid % 3 = 0"), tokens.filter("rid % 3 <> 0"), ["country"], 20).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {_DOC_TOKENS} SELECT * FROM (SELECT country, qid, rid, score, row_number() OVER (PARTITION BY country, qid ORDER BY score DESC, rid) AS rank FROM scored) z WHERE rank <= 5")
+def idf_block_topk(spark, sf_dir):
+    return blocking.top_k(_doc_scores(spark, sf_dir), ["country", "qid"], "score", 5, "rid")
+
+
+@query(f"""WITH {_DOC_TOKENS}, r AS (SELECT *, row_number() OVER (PARTITION BY country, rid ORDER BY score DESC, qid) AS r_rank FROM scored),
+b AS (SELECT *, max(CASE WHEN r_rank = 1 THEN score END) OVER (PARTITION BY country, rid) AS r_best1, max(CASE WHEN r_rank = 2 THEN score END) OVER (PARTITION BY country, rid) AS r_best2 FROM r)
+SELECT country, qid, rid, score, r_rank, r_best1, r_best2 FROM b WHERE r_rank <= 3 OR (rid % 10 = 1 AND r_rank <= 10)""")
+def reverse_block_topk(spark, sf_dir):
+    return blocking.reverse_top_k(_doc_scores(spark, sf_dir), ["country", "rid"], 3, 10, F.col("rid") % 10 == 1, "qid").select("country", "qid", "rid", "score", "r_rank", "r_best1", "r_best2")
+
+
+@query(f"""WITH {_DOC_TOKENS}, c AS (SELECT qid AS s1, rid AS m FROM (SELECT *, row_number() OVER (PARTITION BY country, qid ORDER BY score DESC, rid) AS k FROM scored) z WHERE k <= 5),
+t AS (SELECT a.doc_id AS s1, b.doc_id AS m FROM documents a JOIN documents b ON a.text = b.text WHERE a.doc_id % 3 = 0 AND b.doc_id % 3 <> 0),
+ids AS (SELECT doc_id AS s1 FROM documents WHERE doc_id % 3 = 0),
+s AS (SELECT ids.s1, coalesce(nt, 0) AS nt, coalesce(tp, 0) AS tp, coalesce(nc, 0) AS nc FROM ids LEFT JOIN (SELECT s1, count(*) AS nt FROM t GROUP BY 1) USING (s1)
+  LEFT JOIN (SELECT s1, count(*) AS tp FROM c JOIN t USING (s1, m) GROUP BY 1) USING (s1) LEFT JOIN (SELECT s1, count(*) AS nc FROM c GROUP BY 1) USING (s1))
+SELECT round(sum(tp) / sum(nt), 6) AS pair_recall, round(avg(CASE WHEN nt > 0 THEN CASE WHEN tp = nt THEN 1.0 ELSE 0.0 END END), 6) AS entity_full_recall,
+  round(avg(CASE WHEN nt = 0 AND tp = 0 THEN 1.0 WHEN tp = 0 THEN 0.0 ELSE 1.25 * tp / (tp + 0.25 * nt) END), 6) AS oracle_f05, round(avg(nc), 6) AS cands_per_entity FROM s""")
+def blocking_report(spark, sf_dir):
+    cands = blocking.top_k(_doc_scores(spark, sf_dir), ["country", "qid"], "score", 5, "rid").select(F.col("qid").alias("s1"), F.col("rid").alias("m"))
+    docs = fx.table(spark, sf_dir, "documents").select("doc_id", "text")
+    left, right = docs.filter("doc_id % 3 = 0").withColumnRenamed("doc_id", "s1"), docs.filter("doc_id % 3 <> 0").withColumnRenamed("doc_id", "m")
+    return evaluate.blocking_report(cands, left.join(right, "text").select("s1", "m"), left.select("s1"), "s1", ["m"])
+
+
+# ---- decisions on scored pairs
+
+
+@query(f"""WITH {P}, s AS (SELECT *, (s1 * 31 + m * 17) % 1000 AS name_score, (s1 * 13 + m * 29) % 1000 AS addr_score FROM pairs),
+r AS (SELECT *, row_number() OVER (PARTITION BY s1, src ORDER BY p DESC, m) AS a, row_number() OVER (PARTITION BY s1, src ORDER BY name_score DESC, m) AS b, row_number() OVER (PARTITION BY s1, src ORDER BY addr_score DESC, m) AS c FROM s)
+SELECT s1, m, src, p, name_score, addr_score FROM r WHERE a <= 2 OR b <= 1 OR c <= 1""")
+def topk_union_three_criteria(spark, sf_dir):
+    scored = fx.pairs(spark, sf_dir).withColumn("name_score", (F.col("s1") * 31 + F.col("m") * 17) % 1000).withColumn("addr_score", (F.col("s1") * 13 + F.col("m") * 29) % 1000)
+    return blocking.top_k_union(scored, ["s1", "src"], {"p": 2, "name_score": 1, "addr_score": 1}, "m")
+
+
+@query(f"WITH {P}, {O} SELECT s1, m, src, p FROM owned WHERE p >= 0.75")
+def one_owner_threshold(spark, sf_dir):
+    return decision.threshold(fx.pairs(spark, sf_dir), 0.75)
+
+
+@query(f"""WITH {P}, {O}, k AS (SELECT *, row_number() OVER w AS k, sum(p) OVER (w ROWS UNBOUNDED PRECEDING) AS cum, sum(p) OVER (PARTITION BY s1) AS n_hat,
+  CASE WHEN max(p) OVER (PARTITION BY s1) >= 1 THEN 0.0 ELSE exp(sum(ln(CASE WHEN p < 1 THEN 1 - p END)) OVER (PARTITION BY s1)) END AS p_empty FROM owned WINDOW w AS (PARTITION BY s1 ORDER BY p DESC, src, m)),
+e AS (SELECT *, 1.25 * cum / (k + 0.25 * n_hat) AS ef FROM k), b AS (SELECT *, max(ef) OVER (PARTITION BY s1) AS best FROM e),
+c AS (SELECT *, min(CASE WHEN ef >= best THEN k END) OVER (PARTITION BY s1) AS kb FROM b) SELECT s1, m, src, p FROM c WHERE best > p_empty AND k <= kb""")
+def expected_f_select(spark, sf_dir):
+    return decision.expected_f(fx.pairs(spark, sf_dir))
+
+
+@query(f"""WITH {P}, {O}, k AS (SELECT s1, m, src, p, (s1 + m) % 3 AS kind FROM owned),
+c AS (SELECT *, p >= CASE kind WHEN 0 THEN 0.7 WHEN 1 THEN 0.8 ELSE 0.9 END AS ok, row_number() OVER (PARTITION BY s1 ORDER BY p DESC, src, m) AS r FROM k),
+a AS (SELECT *, max(CAST(ok AS INT)) OVER (PARTITION BY s1) AS any_ok FROM c) SELECT s1, m, src, p, kind, NOT ok AS rescued FROM a WHERE ok OR (any_ok = 0 AND r = 1 AND p >= 0.5)""")
+def kind_threshold_rescue(spark, sf_dir):
+    kinds = fx.pairs(spark, sf_dir).withColumn("kind", (F.col("s1") + F.col("m")) % 3)
+    return decision.select_by_kind(kinds, {0: 0.7, 1: 0.8, 2: 0.9})
+
+
+@query(f"""WITH {P}, n AS (SELECT *, round(p / greatest(1.0, p + 0.5 * (sum(p) OVER (PARTITION BY m, src) - p)), 9) AS pn, max(p) OVER (PARTITION BY m, src) AS mx FROM pairs)
+SELECT s1, m, src, p, round(pn, 6) AS pn FROM n WHERE p >= mx AND pn >= 0.2""")
+def record_normalised_select(spark, sf_dir):
+    return decision.select_normalised(fx.pairs(spark, sf_dir), 0.2).withColumn("pn", F.round("pn", 6))
+
+
+@query(f"""WITH {P}, r AS (SELECT *, row_number() OVER (PARTITION BY m, src ORDER BY p DESC, s1) AS k FROM pairs),
+b AS (SELECT *, coalesce(max(CASE WHEN k = 2 THEN p END) OVER (PARTITION BY m, src), 0.0) AS p2 FROM r) SELECT s1, m, src, p, p2 FROM b WHERE k = 1 AND p >= 0.5 AND p2 < 0.95""")
+def contested_drop(spark, sf_dir):
+    return decision.drop_contested(fx.pairs(spark, sf_dir), 0.5, 0.95)
+
+
+@query(f"""WITH {P}, r AS (SELECT *, row_number() OVER (PARTITION BY m, src ORDER BY p DESC, s1) AS k, max(p) OVER (PARTITION BY m, src) AS mx, sum(p) OVER (PARTITION BY m, src) AS sm,
+  sum(CASE WHEN p >= 0.3 THEN 1 ELSE 0 END) OVER (PARTITION BY m, src) AS nc FROM pairs), b AS (SELECT *, coalesce(max(CASE WHEN k = 2 THEN p END) OVER (PARTITION BY m, src), 0.0) AS p2 FROM r)
+SELECT s1, m, src, p, round(sm - p, 6) AS c_sum_other, CASE WHEN k = 1 THEN p2 ELSE mx END AS c_max_other, nc - CASE WHEN p >= 0.3 THEN 1 ELSE 0 END AS c_n_other, CASE WHEN p >= mx THEN 1 ELSE 0 END AS c_is_max FROM b""")
+def contest_features(spark, sf_dir):
+    return decision.contest(fx.pairs(spark, sf_dir))
+
+
+@query(f"""WITH {P}, r AS (SELECT *, row_number() OVER (PARTITION BY m, src ORDER BY p DESC) AS k FROM pairs)
+SELECT m, src, count(*) AS rev_n_s1, max(p) AS rev_best, min(CASE WHEN k <= 2 THEN p END) AS rev_second FROM r GROUP BY m, src""")
+def reverse_context(spark, sf_dir):
+    return features.reverse_context(fx.pairs(spark, sf_dir))
+
+
+@query(f"""WITH {P}, r AS (SELECT *, max(p) OVER (PARTITION BY s1, src) AS mx, count(*) OVER (PARTITION BY s1, src) AS ctx_n_cands, dense_rank() OVER (PARTITION BY s1, src ORDER BY p DESC) AS ctx_rank FROM pairs)
+SELECT s1, m, src, p, round(p / mx, 6) AS ctx_score_rel, round(mx - p, 6) AS ctx_score_gap, ctx_n_cands, ctx_rank FROM r WHERE mx > 0""")
+def within_context(spark, sf_dir):
+    from pyspark.sql import Window
+
+    pairs = fx.pairs(spark, sf_dir).withColumn("mx", F.max("p").over(Window.partitionBy("s1", "src"))).filter("mx > 0").drop("mx")
+    return features.within_context(pairs)
+
+
+@query("SELECT p_partkey, count(*) OVER (PARTITION BY p_type, p_name) AS k_n, count(*) OVER (PARTITION BY p_type, p_name, p_brand) AS kl_n FROM part")
+def name_tie_counts(spark, sf_dir):
+    part = fx.table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_name", "p_brand")
+    return features.tie_counts(part, [["p_type", "p_name"], ["p_type", "p_name", "p_brand"]], ["k_n", "kl_n"]).select("p_partkey", "k_n", "kl_n")
+
+
+@query("""SELECT p_partkey, greatest(0, sum(c) OVER (PARTITION BY p_type, p_name) - c) AS sup_k, greatest(0, sum(c) OVER (PARTITION BY p_type, p_name, p_size) - c) AS sup_kh
+FROM (SELECT *, CASE WHEN p_retailprice >= 1000 THEN 1 ELSE 0 END AS c FROM part) z""")
+def support_counts(spark, sf_dir):
+    part = fx.table(spark, sf_dir, "part")
+    return features.support(part, [["p_type", "p_name"], ["p_type", "p_name", "p_size"]], ["sup_k", "sup_kh"], F.col("p_retailprice") >= 1000).select("p_partkey", "sup_k", "sup_kh")
+
+
+# ---- records
+
+
+@query(f"""WITH {R} SELECT s1, m, src FROM (SELECT a.rid AS s1, b.rid AS m, b.src, count(*) OVER (PARTITION BY b.rid, b.src) AS n
+  FROM (SELECT * FROM records WHERE src = 1) a JOIN (SELECT * FROM records WHERE src <> 1) b USING (country, name_key, house_no)) z WHERE n = 1""")
+def exact_rule_match(spark, sf_dir):
+    r = fx.records(spark, sf_dir)
+    left = r.filter("src = 1").select(F.col("rid").alias("s1"), "country", "name_key", "house_no")
+    return blocking.exact_rule(left, r.filter("src <> 1").select(F.col("rid").alias("m"), "src", "country", "name_key", "house_no"), ["country", "name_key", "house_no"]).select("s1", "m", "src")
+
+
+_KEYS_SQL = f"""{RP}, keyed AS (SELECT rid, src, unnest([country || '|h|' || house_no, country || '|n|' || name_key || '|' || house_no, 's|' || state || '|' || name_key || '|' || house_no]) AS key FROM records),
+rare AS (SELECT key FROM keyed WHERE src <> 1 AND key IN (SELECT key FROM keyed WHERE src = 1) GROUP BY key HAVING count(*) <= 20)"""
+
+
+@query(f"""WITH {_KEYS_SQL}, x AS (SELECT a.rid AS s1, b.rid AS m, b.src, count(*) AS xk FROM (SELECT DISTINCT rid, key FROM keyed WHERE src = 1) a
+  JOIN (SELECT DISTINCT rid, src, key FROM keyed WHERE src <> 1 AND key IN (SELECT key FROM rare)) b USING (key) GROUP BY 1, 2, 3),
+f AS (SELECT * FROM x WHERE NOT EXISTS (SELECT 1 FROM rp WHERE rp.s1 = x.s1 AND rp.m = x.m AND rp.src = x.src AND rp.house_1 = rp.house_2))
+SELECT s1, m, src, xk FROM (SELECT *, row_number() OVER (PARTITION BY s1, src ORDER BY xk DESC, m) AS k FROM f) z WHERE k <= 5""")
+def extension_rare_keys(spark, sf_dir):
+    r = fx.records(spark, sf_dir)
+    key = F.array(F.concat_ws("|", "country", F.lit("h"), "house_no"), F.concat_ws("|", "country", F.lit("n"), "name_key", "house_no"), F.concat_ws("|", F.lit("s"), "state", "name_key", "house_no"))
+    keyed = r.select("rid", "src", F.explode(key).alias("key"))
+    known = fx.record_pairs(spark, sf_dir).filter("house_1 = house_2")
+    return blocking.rare_keys(keyed.filter("src = 1").select(F.col("rid").alias("s1"), "key"), keyed.filter("src <> 1").select(F.col("rid").alias("m"), "src", "key"), known, 20, 5)
+
+
+@query(f"""WITH {RP} SELECT s1, m, src, CASE WHEN state_1 = state_2 THEN 1 ELSE 0 END AS state_eq,
+  len(list_intersect(string_split(name_key, ' '), string_split(country, ' '))) / len(list_distinct(list_concat(string_split(name_key, ' '), string_split(country, ' ')))) AS tok_jacc FROM rp""")
+def pair_set_features(spark, sf_dir):
+    p = fx.record_pairs(spark, sf_dir)
+    return p.select("s1", "m", "src", features.agree(F.col("state_1"), F.col("state_2")).alias("state_eq"), features.set_overlap(F.col("name_key"), F.col("country")).alias("tok_jacc"))
+
+
+@query(f"""WITH {RP}, t AS (SELECT s1, m, src, CAST(house_1 AS VARCHAR) AS a, CAST(house_2 AS VARCHAR) AS b FROM rp)
+SELECT s1, m, src, CASE WHEN a = b THEN 1 ELSE 0 END AS hv_eq, abs(CAST(a AS BIGINT) - CAST(b AS BIGINT)) AS hv_diff, CASE WHEN contains(a, b) OR contains(b, a) THEN 1 ELSE 0 END AS hv_sub,
+  levenshtein(a, b) AS hv_lev, 0 AS hv_missing_1, 0 AS hv_missing_2 FROM t""")
+def house_digit_features(spark, sf_dir):
+    p = fx.record_pairs(spark, sf_dir)
+    return p.select("s1", "m", "src", *features.house_digits(F.col("house_1").cast("string"), F.col("house_2").cast("string")))
+
+
+@query(f"""WITH {RP}, w AS (SELECT s1, m, src, abs(house_1 - house_2) AS d, s1 % 7 = 0 AS e FROM rp)
+SELECT s1, m, src, CASE WHEN e THEN 'empty_addr' WHEN d BETWEEN 1 AND 25 THEN 'sib_shift' WHEN d > 25 THEN 'house_conflict' ELSE 'same_words' END AS pair_class FROM w""")
+def pair_class_ladder(spark, sf_dir):
+    p = fx.record_pairs(spark, sf_dir)
+    return p.select("s1", "m", "src", features.pair_class(F.col("s1") % 7 == 0, F.col("house_1"), F.col("house_2"), F.col("name_key"), F.col("name_key")).alias("pair_class"))
+
+
+@query(f"""WITH {RP}, p AS (SELECT s1, m, src, country, name_key, house_1 <> house_2 AS conflict, CAST((s1 * 31 + m) % 100 AS DOUBLE) / 100 AS p, CAST((s1 * 17 + m) % 100 AS DOUBLE) / 100 AS p_blend FROM rp),
+tied AS (SELECT country, name_key FROM records WHERE src = 1 GROUP BY 1, 2 HAVING count(*) >= 2), seen AS (SELECT DISTINCT country FROM records WHERE rid % 6 = 0)
+SELECT s1, m, src, p, p_blend, CASE WHEN EXISTS (SELECT 1 FROM tied t WHERE t.country = p.country AND t.name_key = p.name_key) THEN least(p, p_blend) ELSE p_blend END AS p_guarded
+FROM p WHERE country IN (SELECT country FROM seen WHERE country LIKE 'S%') OR NOT conflict""")
+def tie_guard(spark, sf_dir):
+    r = fx.records(spark, sf_dir)
+    scored = fx.record_pairs(spark, sf_dir).withColumn("p", ((F.col("s1") * 31 + F.col("m")) % 100).cast("double") / 100).withColumn("p_blend", ((F.col("s1") * 17 + F.col("m")) % 100).cast("double") / 100)
+    tied = r.filter("src = 1").groupBy("country", "name_key").agg(F.count("*").alias("n")).filter("n >= 2")
+    seen = r.filter("rid % 6 = 0 AND country LIKE 'S%'")
+    guarded = decision.safeguard(decision.tie_guard(scored, tied, ["country", "name_key"]), seen, F.col("house_1") != F.col("house_2"))
+    return guarded.select("s1", "m", "src", "p", "p_blend", "p_guarded")
+
+
+_NAMES_SQL = "WITH n AS (SELECT DISTINCT p_name AS a FROM part), x AS (SELECT l.a, r.a AS b FROM n l JOIN n r ON l.a < r.a AND substr(l.a, 1, 2) = substr(r.a, 1, 2))"
+
+
+def _name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = fx.table(spark, sf_dir, "part").select(F.col("p_name").alias("a")).distinct().withColumn("two", F.substring("a", 1, 2))
+    return n.join(n.withColumnRenamed("a", "b"), "two").filter("a < b").drop("two")
+
+
+@query(f"{_NAMES_SQL} SELECT a, b, round(jaro_winkler_similarity(a, b), 6) AS jaro_winkler FROM x")
+def jaro_winkler_scores(spark, sf_dir):
+    return _name_pairs(spark, sf_dir).select("a", "b", F.round(similarity.scores(F.col("a"), F.col("b"))["jaro_winkler"], 6).alias("jaro_winkler"))
+
+
+@query()
+def fuzzy_scores(spark, sf_dir):
+    return _name_pairs(spark, sf_dir).withColumn("s", similarity.scores(F.col("a"), F.col("b"))).select("a", "b", "s.*")
+
+
+@query("SELECT c_custkey, trim(regexp_replace(regexp_replace(replace(lower(c_name), '&', ' and '), '[.''`’]', '', 'g'), '[^a-z0-9]+', ' ', 'g')) AS name_norm FROM customer")
+def normalise_names(spark, sf_dir):
+    return normalize.normalize_names(fx.table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("business_name"))).select("c_custkey", "name_norm")
+
+
+@query("""SELECT page_id, regexp_extract(lower(split_part(url, '/', 3)), '([a-z0-9-]+)\\.(com|net|org)$', 1) AS domain_core FROM pages""")
+def domain_core(spark, sf_dir):
+    host = F.lower(F.get(F.split("url", "/"), 2))
+    return fx.table(spark, sf_dir, "pages").select("page_id", F.regexp_extract(host, r"([a-z0-9-]+)\.(com|net|org)$", 1).alias("domain_core"))
+
+
+@query()
+def normalise_addresses(spark, sf_dir):
+    made = F.concat_ws(", ", F.concat_ws(" ", F.col("c_custkey").cast("string"), F.col("c_mktsegment"), F.lit("Street")), F.lit("High Point"), F.lit("NC"))
+    df = fx.table(spark, sf_dir, "customer").select("c_custkey", made.alias("business_address"), F.lit("US").alias("country"))
+    return normalize.normalize_addresses(df).drop("business_address")
+
+
+@query()
+def record_tokens(spark, sf_dir):
+    names = fx.records(spark, sf_dir).withColumn("name_core", F.lower("name_key"))
+    full = names.select("rid", "country", "name_core", F.col("name_core").alias("name_key"), F.array_join(F.transform(F.split("name_core", " "), normalize.skeleton), " ").alias("name_skel"), F.lower("state").alias("addr_norm"), F.lower("state").alias("addr_street"), F.lower("country").alias("addr_localities"), F.col("house_no").cast("string").alias("addr_house_no"))
+    return blocking.record_tokens(full)
+
+
+# ---- vectors
+
+_KNN_SQL = """knn AS (SELECT block, qid, pid, c, row_number() OVER (PARTITION BY qid ORDER BY c DESC, pid) AS rank FROM (
+  SELECT q.label AS block, q.vec_id AS qid, p.vec_id AS pid, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(p.embedding AS DOUBLE[])), 6) AS c
+  FROM embeddings q JOIN embeddings p ON q.label = p.label WHERE q.vec_id % 3 {q} 0 AND p.vec_id % 3 {p} 0) z QUALIFY rank <= {k})"""
+
+
+def _knn(spark: SparkSession, sf_dir: str, back: bool, k: int) -> DataFrame:
+    e = fx.table(spark, sf_dir, "embeddings")
+    asked, rest = e.filter("vec_id % 3 = 0"), e.filter("vec_id % 3 <> 0")
+    asked, rest = (rest, asked) if back else (asked, rest)
+    return blocking.knn(asked.withColumnRenamed("vec_id", "qid"), rest.withColumnRenamed("vec_id", "pid"), "label", k)
+
+
+@query(f"WITH {_KNN_SQL.format(q='=', p='<>', k=6)} SELECT * FROM knn")
+def embed_knn_forward(spark, sf_dir):
+    return _knn(spark, sf_dir, False, 6)
+
+
+@query(f"WITH {_KNN_SQL.format(q='<>', p='=', k=5)} SELECT * FROM knn")
+def embed_knn_reverse(spark, sf_dir):
+    return _knn(spark, sf_dir, True, 5)
+
+
+@query(f"""WITH {_KNN_SQL.format(q='=', p='<>', k=6)}, w AS (SELECT qid, pid, c, rank, max(CASE WHEN rank = 1 THEN c END) OVER (PARTITION BY qid) AS bk_r1, max(CASE WHEN rank = 2 THEN c END) OVER (PARTITION BY qid) AS bk_r2,
+  max(CASE WHEN rank = 5 THEN c END) OVER (PARTITION BY qid) AS bk_r5 FROM knn) SELECT *, round(bk_r1 - c, 6) AS bk_rgap, round(bk_r1 - bk_r2, 6) AS bk_r12, CASE WHEN rank = 1 THEN 1 ELSE 0 END AS bk_is_top FROM w""")
+def neighbour_context(spark, sf_dir):
+    return features.neighbour_context(_knn(spark, sf_dir, False, 6))
+
+
+@query(f"""WITH {_KNN_SQL.format(q='=', p='<>', k=6)}, b AS (SELECT qid, pid FROM knn WHERE rank <= 2), e AS (SELECT qid, pid FROM knn WHERE rank BETWEEN 2 AND 6), t AS (SELECT qid, pid FROM knn WHERE (qid + pid) % 4 = 0),
+a AS (SELECT qid, pid, max(x) AS b, max(y) AS e, max(z) AS t FROM (SELECT *, 1 AS x, 0 AS y, 0 AS z FROM b UNION ALL SELECT *, 0, 1, 0 FROM e UNION ALL SELECT *, 0, 0, 1 FROM t) GROUP BY 1, 2)
+SELECT count(*) FILTER (b = 1 AND t = 1) AS hits_blocking, count(*) FILTER (e = 1 AND t = 1) AS hits_extra, count(*) FILTER (greatest(b, e) = 1 AND t = 1) AS hits_union, count(*) FILTER (t = 1) AS n_true, count(*) FILTER (e = 1 AND b = 0) AS new_pairs FROM a""")
+def knn_union_recall(spark, sf_dir):
+    k = _knn(spark, sf_dir, False, 6)
+    return evaluate.recall_gain(k.filter("rank <= 2"), k.filter("rank BETWEEN 2 AND 6"), k.filter("(qid + pid) % 4 = 0"), ["qid", "pid"])
+
+
+# ---- evaluation
+
+
+def _selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decision.threshold(fx.pairs(spark, sf_dir), 0.75)
+
+
+_SCORES_SQL = f"""{P}, {T_}, {O}, pred AS (SELECT s1, m, src FROM owned WHERE p >= 0.75), ids AS (SELECT DISTINCT s1 FROM pairs),
+sc AS (SELECT ids.s1, coalesce(np, 0) AS n_pred, coalesce(nt, 0) AS n_true, coalesce(t, 0) AS tp FROM ids LEFT JOIN (SELECT s1, count(*) AS np FROM pred GROUP BY 1) USING (s1)
+  LEFT JOIN (SELECT s1, count(*) AS nt FROM truth GROUP BY 1) USING (s1) LEFT JOIN (SELECT s1, count(*) AS t FROM pred JOIN truth USING (s1, m, src) GROUP BY 1) USING (s1)),
+ff AS (SELECT *, CASE WHEN n_true = 0 AND n_pred = 0 THEN 1.0 WHEN tp = 0 THEN 0.0 ELSE 1.25 * tp / (n_pred + 0.25 * n_true) END AS f FROM sc)"""
+
+
+def _entity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = fx.pairs(spark, sf_dir).select("s1").distinct()
+    return evaluate.entity_scores(_selected(spark, sf_dir), fx.truth(spark, sf_dir), ids, "s1", ["m", "src"])
+
+
+@query(f"WITH {_SCORES_SQL} SELECT s1, n_pred, n_true, tp, round(f, 6) AS f FROM ff")
+def entity_f05(spark, sf_dir):
+    return _entity_scores(spark, sf_dir).select("s1", "n_pred", "n_true", "tp", F.round("f", 6).alias("f"))
+
+
+_SUMMARY = "count(*) AS n, round(avg(f), 6) AS f05, round(sum(tp) / sum(n_pred), 6) AS micro_p, round(sum(tp) / sum(n_true), 6) AS micro_r, round(avg(CASE WHEN n_true = 0 THEN f END), 6) AS singleton_acc, round(avg(CASE WHEN n_pred = 0 THEN 1.0 ELSE 0.0 END), 6) AS empty_rate"
+
+
+@query(f"WITH {_SCORES_SQL} SELECT {_SUMMARY} FROM ff")
+def f05_summary(spark, sf_dir):
+    return evaluate.summarize(_entity_scores(spark, sf_dir))
+
+
+@query(f"WITH {_SCORES_SQL} SELECT s1 % 3 AS grp, {_SUMMARY} FROM ff GROUP BY 1")
+def f05_by_group(spark, sf_dir):
+    return evaluate.summarize(_entity_scores(spark, sf_dir).withColumn("grp", F.col("s1") % 3), ["grp"])
+
+
+@query(f"""WITH {P}, {O}, i AS (SELECT DISTINCT 'S1-' || s1 AS s1_id FROM pairs), l AS (SELECT 'S1-' || s1 AS s1_id, string_agg('S' || src || '-' || m, ',' ORDER BY 'S' || src || '-' || m) AS matched_entity_ids FROM owned WHERE p >= 0.75 GROUP BY 1)
+SELECT s1_id AS source1_entity_id, coalesce(matched_entity_ids, '') AS matched_entity_ids FROM i LEFT JOIN l USING (s1_id)""")
+def id_list_roundtrip(spark, sf_dir):
+    named = lambda df: df.withColumn("s1_id", io.string_id(F.lit(1), F.col("s1"))).withColumn("match_id", io.string_id(F.col("src"), F.col("m")))
+    ids = named(fx.pairs(spark, sf_dir)).select("s1_id").distinct()
+    lists = io.id_lists(named(_selected(spark, sf_dir)), ids)
+    again = io.split_matches(lists).filter("match_id IS NOT NULL")
+    return io.id_lists(again, ids)
+
+
+@query(f"""WITH {P}, r AS (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY p DESC, src, m) AS k FROM pairs), n AS (SELECT *, max(CASE WHEN k = 1 THEN p END) OVER w AS a, max(CASE WHEN k = 2 THEN p END) OVER w AS b, max(CASE WHEN k = 3 THEN p END) OVER w AS c,
+  sum(p) OVER w AS sm, sum(CASE WHEN p >= 0.5 THEN 1 ELSE 0 END) OVER w AS nc FROM r WINDOW w AS (PARTITION BY s1))
+SELECT s1, m, src, p, CASE WHEN k = 1 THEN b ELSE a END AS g_anchor1_p, CASE WHEN k <= 2 THEN c ELSE b END AS g_anchor2_p, nc - CASE WHEN p >= 0.5 THEN 1 ELSE 0 END AS g_n_conf, round(sm - p, 6) AS g_sum_p_others, k AS g_p_rank, round(a - p, 6) AS g_p_gap FROM n""")
+def group_anchor_features(spark, sf_dir):
+    return features.anchors(fx.pairs(spark, sf_dir))
+
+
+@query("""SELECT user_id, event_type, n, total FROM (SELECT *, sum(n) OVER (PARTITION BY user_id) AS total, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) AS k FROM (
+  SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2) z) y WHERE k = 1 AND n >= 3 AND n >= 0.3 * total""")
+def majority_vote_map(spark, sf_dir):
+    return features.majority_map(fx.table(spark, sf_dir, "events"), "user_id", "event_type", 3, 0.3)
+
+
+@query("""WITH t AS (SELECT DISTINCT p_partkey, p_type, unnest(string_split(p_name, ' ')) AS tok FROM part), n AS (SELECT p_type, count(*) AS n FROM part GROUP BY 1)
+SELECT p_type, tok, df, 8 + greatest(-7, least(10, CAST(round(log2(1000.0 * df / n + 0.01)) AS INT))) AS bucket FROM (SELECT p_type, tok, count(*) AS df FROM t GROUP BY 1, 2) d JOIN n USING (p_type)""")
+def token_df_bucket(spark, sf_dir):
+    return features.token_bucket(fx.table(spark, sf_dir, "part"), "p_type", "p_name")
+
+
+@query(f"""WITH {P}, {T_}, x AS (SELECT t.s1, t.m, t.src, p.s1 AS neg_s1, p.p AS neg_p, row_number() OVER (PARTITION BY t.s1, t.m, t.src ORDER BY p.p DESC, p.s1) AS k FROM truth t JOIN pairs p ON p.m = t.m AND p.src = t.src AND p.s1 <> t.s1)
+SELECT s1, m, src, neg_s1, neg_p FROM x WHERE k = 1""")
+def hard_negative_best_other(spark, sf_dir):
+    return features.hard_negative(fx.truth(spark, sf_dir), fx.pairs(spark, sf_dir))
+
+
+# ---- samples, overlays, bands
+
+
+@query("SELECT c_custkey, c_mktsegment, CAST((row_number() OVER (PARTITION BY c_mktsegment ORDER BY (c_custkey * 48271 + 11) % 65537, c_custkey) - 1) % 5 AS INT) AS fold FROM customer")
+def stratified_folds(spark, sf_dir):
+    return sampling.stratified_folds(fx.table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), "c_custkey", ["c_mktsegment"])
+
+
+@query(f"""WITH {P}, {T_}, l AS (SELECT p.*, CASE WHEN t.s1 IS NULL THEN 0 ELSE 1 END AS label FROM pairs p LEFT JOIN truth t USING (s1, m, src))
+SELECT s1, m, src, p, label, CASE WHEN label = 1 THEN 1.0 ELSE 4.0 END AS weight FROM l WHERE label = 1 OR ((s1 * 131 + m * 7 + src) * 48271 + 11) % 65537 < 16384""")
+def weighted_negative_sample(spark, sf_dir):
+    keys = ["s1", "m", "src"]
+    labelled = fx.pairs(spark, sf_dir).join(fx.truth(spark, sf_dir).withColumn("label", F.lit(1)), keys, "left").withColumn("label", F.coalesce("label", F.lit(0)))
+    return sampling.weighted_negatives(labelled, F.col("s1") * 131 + F.col("m") * 7 + F.col("src"), F.col("label"), 0.25)
+
+
+@query(f"""WITH {P}, a AS (SELECT * FROM pairs WHERE (s1 + m) % 3 <> 0), b AS (SELECT s1, m, src, round(1 - p, 6) AS p_new FROM pairs WHERE (s1 + m) % 3 <> 1)
+SELECT s1, m, src, p, p_new, coalesce(p_new, p) AS pf, p IS NULL AS added FROM a FULL JOIN b USING (s1, m, src)""")
+def score_overlay_full_outer(spark, sf_dir):
+    pairs = fx.pairs(spark, sf_dir)
+    return decision.overlay(pairs.filter("(s1 + m) % 3 <> 0"), pairs.filter("(s1 + m) % 3 <> 1").withColumn("p_new", F.round(1 - F.col("p"), 6)), ["s1", "m", "src"])
+
+
+@query(f"""WITH {P}, {O}, l AS (SELECT 'S1-' || s1 AS k, string_agg(CASE WHEN m % 50 = 0 THEN 'X-' ELSE 'S' || src || '-' END || m, ',') AS v FROM owned WHERE p >= 0.75 AND s1 % 11 <> 0 GROUP BY 1)
+SELECT 'duplicate_in_list' AS "check", 0 AS n UNION ALL SELECT 'self_match', 0 UNION ALL SELECT 'bad_prefix', (SELECT count(*) FROM owned WHERE p >= 0.75 AND s1 % 11 <> 0 AND m % 50 = 0) UNION ALL SELECT 'duplicate_row', 0
+UNION ALL SELECT 'missing_row', (SELECT count(DISTINCT s1) FROM pairs WHERE 'S1-' || s1 NOT IN (SELECT k FROM l)) UNION ALL SELECT 'unexpected_row', 0""")
+def submission_validate(spark, sf_dir):
+    match = F.concat(F.when(F.col("m") % 50 == 0, "X-").otherwise(F.concat(F.lit("S"), F.col("src").cast("string"), F.lit("-"))), F.col("m").cast("string"))
+    s1 = F.concat(F.lit("S1-"), F.col("s1").cast("string")).alias("source1_entity_id")
+    lists = _selected(spark, sf_dir).filter("s1 % 11 <> 0").select(s1, match.alias("v")).groupBy("source1_entity_id").agg(F.array_join(F.collect_list("v"), ",").alias("matched_entity_ids"))
+    return evaluate.validate(lists, fx.pairs(spark, sf_dir).select(s1).distinct())
+
+
+@query(f"""WITH {P}, {O}, a AS (SELECT * FROM owned WHERE p >= 0.75), b AS (SELECT * FROM owned WHERE p >= 0.85 OR s1 % 5 = 0)
+SELECT src, count(*) FILTER (a.p IS NULL) AS added, count(*) FILTER (b.p IS NULL) AS removed, count(*) FILTER (a.p IS NOT NULL AND b.p IS NOT NULL) AS kept FROM a FULL JOIN b USING (s1, m, src) GROUP BY src""")
+def submission_diff(spark, sf_dir):
+    owned = decision.one_owner(fx.pairs(spark, sf_dir))
+    return evaluate.diff(owned.filter("p >= 0.75"), owned.filter("p >= 0.85 OR s1 % 5 = 0"), ["s1", "m", "src"], ["src"])
+
+
+@query("""SELECT lang, count(*) AS n, count(DISTINCT text) AS n_distinct, round(avg(CASE WHEN text = '' THEN 1.0 ELSE 0.0 END), 6) AS empty_rate, round(avg(CASE WHEN text = upper(text) THEN 1.0 ELSE 0.0 END), 6) AS upper_rate,
+  round(avg(CASE WHEN regexp_matches(text, '[^\\x00-\\x7F]') THEN 1.0 ELSE 0.0 END), 6) AS non_ascii_rate, round(avg(CASE WHEN regexp_matches(text, '[0-9]') THEN 1.0 ELSE 0.0 END), 6) AS digit_rate, round(avg(length(text)), 6) AS mean_chars
+FROM (SELECT lang, coalesce(text, '') AS text FROM documents) z GROUP BY 1""")
+def profile_by_group(spark, sf_dir):
+    return profile.by_group(fx.table(spark, sf_dir, "documents"), "text", ["lang"])
+
+
+@query("SELECT copies, count(*) AS n_texts FROM (SELECT text, count(*) AS copies FROM documents GROUP BY 1) z GROUP BY 1")
+def duplicate_profile(spark, sf_dir):
+    return profile.duplicates(fx.table(spark, sf_dir, "documents"), "text")
+
+
+@query("SELECT unnest([0.1, 0.5, 0.9]) AS share, unnest(list_transform(quantile_cont(p_retailprice, [0.1, 0.5, 0.9]), lambda v: round(v, 6))) AS value FROM part")
+def percentile_profile(spark, sf_dir):
+    return profile.percentiles(fx.table(spark, sf_dir, "part"), "p_retailprice", [0.1, 0.5, 0.9])
+
+
+@query(f"""WITH {P}, w AS (SELECT p.*, g.world FROM pairs p CROSS JOIN (SELECT unnest(range(0, 4)) AS world) g),
+h AS (SELECT world, s1, count(*) AS k, sum(CASE WHEN ((s1 * 131 + m * 7 + src) * 48271 + world * 7919) % 65537 < p * 65537 THEN 1 ELSE 0 END) AS t FROM w GROUP BY 1, 2)
+SELECT CAST(world AS INT) AS world, round(avg(CASE WHEN t = 0 THEN 0.0 ELSE 1.25 * t / (k + 0.25 * t) END), 6) AS f05, count(*) AS n FROM h GROUP BY 1""")
+def simulate_expected_f(spark, sf_dir):
+    return sampling.simulate(fx.pairs(spark, sf_dir), 4, F.col("s1") * 131 + F.col("m") * 7 + F.col("src"))
+
+
+@query(f"""WITH {P}, k AS (SELECT *, (s1 + m) % 3 AS kind, p AS pf FROM pairs) SELECT kind, count(*) AS n FROM k WHERE pf >= 0.02 AND pf >= 0.1 AND pf < 1.0 AND NOT (kind IN (0, 1) AND p >= 0.95) GROUP BY 1""")
+def band_filter_counts(spark, sf_dir):
+    kinds = fx.pairs(spark, sf_dir).withColumn("kind", (F.col("s1") + F.col("m")) % 3).withColumn("pf", F.col("p")).filter("pf >= 0.02")
+    return decision.in_band(kinds, 0.1, 1.0, sure=0.95).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {P}, {T_}, l AS (SELECT p.p AS s, CASE WHEN t.s1 IS NULL THEN 0 ELSE 1 END AS y FROM pairs p LEFT JOIN truth t USING (s1, m, src)),
+g AS (SELECT s, sum(y) AS pos, sum(1 - y) AS neg FROM l GROUP BY 1), c AS (SELECT *, coalesce(sum(neg) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g)
+SELECT round(sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg)), 6) AS auc, sum(pos) AS n_pos, sum(neg) AS n_neg FROM c""")
+def roc_area(spark, sf_dir):
+    keys = ["s1", "m", "src"]
+    scored = fx.pairs(spark, sf_dir).join(fx.truth(spark, sf_dir).withColumn("label", F.lit(1)), keys, "left").withColumn("label", F.coalesce("label", F.lit(0)))
+    return evaluate.auc(scored, "label", "p")
+
+
+@query()
+def oof_scores(spark, sf_dir):
+    from ledgerlink.operators.models import out_of_fold
+
+    keys = ["s1", "m", "src"]
+    truth = fx.truth(spark, sf_dir).withColumn("label", F.lit(1.0))
+    pairs = features.anchors(fx.pairs(spark, sf_dir)).join(truth, keys, "left").withColumn("label", F.coalesce("label", F.lit(0.0)))
+    return out_of_fold(pairs, ["p", "g_anchor1_p", "g_n_conf", "g_sum_p_others", "g_p_rank", "g_p_gap"], "label", "s1", keys, folds=2)
