@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlink.llm import wordexchange as wx
+from ledgerlink.llm.batches import slices
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -142,7 +143,7 @@ def decode(encoded: DataFrame, vocabulary: str | None = None, ids_col: str = "id
 
     def run(batches):
         of = table.value.__getitem__
-        for batch in batches:
+        for batch in slices(batches):
             blobs = batch.column(ids_col).to_pylist()
             done = [None if b is None else b"".join(map(of, np.frombuffer(b, "<u4").tolist())) for b in blobs]
             yield pa.RecordBatch.from_arrays([batch.column(f.name) if f.name != out_col else pa.array(done, pa.binary()) for f in schema], names=schema.names)

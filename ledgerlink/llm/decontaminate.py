@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from ledgerlink.llm.batches import slices
 
 PIECE, PASSAGE, STRIDE = 48, 64, 32
 THRESHOLD = 0.4
@@ -193,7 +194,7 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
         def run(batches):
             index = cast.value
             numbers = _Numbers(index.number)
-            for batch in batches:
+            for batch in slices(batches):
                 rows = [(i, *hit) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for hit in leaks(t or "", index, numbers)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)

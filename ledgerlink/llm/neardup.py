@@ -36,6 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlink.llm.batches import slices
 from ledgerlink.llm.components import components
 from ledgerlink.staging import stage, unstage
 
@@ -101,7 +102,7 @@ def sketched(docs: DataFrame, runs: int, similarity: float, id_col: str, text_co
 
     def run(batches):
         hashes = _Hashes()
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 tokens = shingles(text or "", hashes)
@@ -311,7 +312,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simila
 
     def whole(batches):
         hashes = _Hashes()
-        for batch in batches:
+        for batch in slices(batches):
             node, digest, label, text = (batch.column(c).to_pylist() for c in range(4))
             sets = [shingles(t or "", hashes).tobytes() for t in text]
             same = [k for k, s in enumerate(sets) if xxhash.xxh3_128_digest(s) == digest[k]]

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlink.llm import bpe
+from ledgerlink.llm.batches import slices
 from ledgerlink.staging import stage
 
 SPAN = 256  # lengths in one block of the two-level suffix sums
@@ -32,7 +33,7 @@ def lengths(docs: DataFrame, text_col: str = "text", vocabulary: str | None = No
         import tiktoken
 
         encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks.value, special_tokens={})
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([pa.array([len(encoding.encode_ordinary(t)) if t else 0 for t in batch.column(0).to_pylist()], pa.int64())], names=["n_tokens"])
 
     return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "n_tokens long")

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from ledgerlink.llm.batches import slices
 
 #: Labelled documents of each class that the model is fitted on, at most, and bytes of their texts.
 SAMPLE = 3000
@@ -163,7 +164,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches):
         values = _Values(cast.value.weight)
-        for batch in batches:
+        for batch in slices(batches):
             done = [_scores(t or "", values, cast.value.bias) for t in batch.column(1).to_pylist()]
             found = [[{"start": a, "end": b, "score": s} for a, b, s in spans] for _, spans in done]
             yield pa.RecordBatch.from_arrays(

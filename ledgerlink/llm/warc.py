@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerlink.llm.batches import slices
 from ledgerlink.staging import new_path, stage
 
 ARCHIVE_BYTES = 256_000_000
@@ -108,7 +109,7 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", paylo
         where, base = _open(folder)
         where.create_dir(base, recursive=True)
         sink, name, at = None, "", 0
-        for batch in batches:
+        for batch in slices(batches):
             notes = []
             for i, url, text, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if sink is None or at >= ARCHIVE_BYTES:

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerlink.llm.batches import slices
 from ledgerlink.staging import new_path
 
 #: Characters of text after which a bucket is closed; a longer text has its own.
@@ -99,7 +100,7 @@ def _bucket(batches, tokenise, bucket_chars, schema) -> Iterator[pa.RecordBatch]
         row = [first + next(made), ids, flags, sizes, lens, flat, squeeze(stream)]
         return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
 
-    for batch in batches:
+    for batch in slices(batches):
         for i, flag, text in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
             tokens = tokenise(text or "")
             ids.append(i)
