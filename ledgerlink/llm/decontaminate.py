@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+
 from ledgerlink.llm.batches import slices
 
 PIECE, PASSAGE, STRIDE = 48, 64, 32

@@ -44,6 +44,7 @@ BITS_PER_KEY = 14
 PROBES = 6
 ROUND_BYTES = 64_000_000
 LEVELS = 64
+CHUNK = 1 << 15  # keys whose probes are worked on at once
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)  # fixed values: multipliers of a public 64-bit finaliser
 
 
@@ -79,8 +80,10 @@ def segment(hashes: np.ndarray, counts: np.ndarray) -> bytes:
     bloom = np.zeros(bits // 8, np.uint8)
     for level in range(1, int(levels.max()) + 1):
         own = hashes[levels >= level]
-        at = _probes(own, level, np.full(len(own), bits, np.uint64)).ravel()
-        np.bitwise_or.at(bloom, (at >> np.uint64(3)).astype(np.int64), np.left_shift(1, (at & np.uint64(7)).astype(np.uint8)).astype(np.uint8))
+        for begin in range(0, len(own), CHUNK):
+            part = own[begin : begin + CHUNK]
+            at = _probes(part, level, np.full(len(part), bits, np.uint64)).ravel()
+            np.bitwise_or.at(bloom, (at >> np.uint64(3)).astype(np.int64), np.left_shift(1, (at & np.uint64(7)).astype(np.uint8)).astype(np.uint8))
     return bloom.tobytes()
 
 
@@ -99,6 +102,10 @@ class Filter:
 
     def counts(self, hashes: np.ndarray) -> np.ndarray:
         """Quantised counts: 2 to the level; 0 for level 0 and for pairs of other rounds."""
+        chunks = [self._counts(hashes[a : a + CHUNK]) for a in range(0, len(hashes), CHUNK)]
+        return np.concatenate(chunks) if chunks else np.zeros(0)
+
+    def _counts(self, hashes: np.ndarray) -> np.ndarray:
         out = np.zeros(len(hashes))
         part = (hashes % np.uint64(self.parts)).astype(np.int64) - self.first
         live = np.flatnonzero((part >= 0) & (part < len(self.bits)))

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+
 from ledgerlink.llm.batches import slices
 
 #: Labelled documents of each class that the model is fitted on, at most, and bytes of their texts.
