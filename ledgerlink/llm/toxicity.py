@@ -17,6 +17,7 @@ With no labelled row of both classes the score of every text is 0.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import defaultdict
 from itertools import count
 
@@ -31,6 +32,7 @@ from ledgerlink.llm.batches import slices
 #: Labelled documents of each class that the model is fitted on, at most, and bytes of their texts.
 SAMPLE = 3000
 SAMPLE_BYTES = 48_000_000
+CELLS = 1 << 22  # of hashed document counts
 MIN_DOCS = 4  # labelled documents that a word must stand in
 PREFIX = 4
 ROUNDS = 300
@@ -55,6 +57,10 @@ def _keys(word: str) -> tuple[str, ...]:
     return (word, word[:PREFIX] + "*") if len(word) > PREFIX else (word,)
 
 
+def _cell(key: str) -> int:
+    return zlib.crc32(key.encode("utf-8", "replace")) % CELLS
+
+
 class Model:
     """weight: by word and by beginning; the bias of a sentence."""
 
@@ -66,18 +72,21 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     labels = np.array(labels, np.float64)
     if not len(labels) or labels.min() == labels.max():
         return Model({}, -np.inf)
+    # words that stand in enough documents, by hashed counts, so that the many rare words are never held
+    seen = np.zeros(CELLS, np.uint16)
+    for text in texts:
+        keys = {k for w in set(_WORD.findall(text.lower())) for k in _keys(w)}
+        cells = np.unique(np.fromiter(map(_cell, keys), np.int64, len(keys)))
+        seen[cells] += 1
     number: dict[str, int] = defaultdict(count().__next__)
-    in_docs: dict[str, int] = {}
-    bags, sizes = [], []
+    cols, sizes = [], []
     for text in texts:
         lower = text.lower()
-        own = [list({k for w in set(_WORD.findall(lower[a:b])) for k in _keys(w)}) for a, b in sentences(lower)]
-        for k in {k for s in own for k in s}:
-            in_docs[k] = in_docs.get(k, 0) + 1
-        bags.append(own)
-        sizes.append(len(own))
-    common = {k for k, n in in_docs.items() if n >= MIN_DOCS}
-    cols = [np.fromiter((number[k] for k in s if k in common), np.int32) for own in bags for s in own]
+        spans = sentences(lower)
+        for begin, end in spans:
+            keys = {k for w in set(_WORD.findall(lower, begin, end)) for k in _keys(w) if seen[_cell(k)] >= MIN_DOCS}
+            cols.append(np.fromiter(map(number.__getitem__, keys), np.int32, len(keys)))
+        sizes.append(len(spans))
     lens = np.fromiter(map(len, cols), np.int64, len(cols))
     col = np.concatenate(cols) if cols else np.zeros(0, np.int32)
     row = np.repeat(np.arange(len(cols)), lens)
