@@ -24,11 +24,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlink.llm.batches import slices
+from ledgerlink.llm.batches import slices, small_batches
 from ledgerlink.staging import new_path
 
 #: Characters of text after which a bucket is closed; a longer text has its own.
-BUCKET_CHARS = 5_000_000
+BUCKET_CHARS = 4_000_000
 
 
 def squeeze(a: np.ndarray, level: int = 3) -> bytes:
@@ -134,7 +134,8 @@ def make_buckets(
     spark = docs.sparkSession
     path = new_path(spark, "buckets")
     name = path.rsplit("/", 1)[-1].replace("-", "_")
-    made.write.format("parquet").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "bucket").option("path", path).saveAsTable(name)
+    with small_batches(spark):
+        made.write.format("parquet").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "bucket").option("path", path).saveAsTable(name)
     return spark.table(name)
 
 
