@@ -95,3 +95,21 @@ def _scores(a: pd.Series, b: pd.Series) -> pd.DataFrame:
 def scores(a: Column, b: Column) -> Column:
     """A struct of all scores, from one pass through Python."""
     return _scores(a, b)
+
+
+DIFFERENCE = T.StructType([T.StructField(c, T.ArrayType(T.StringType())) for c in ("missing", "extra")])
+
+
+def unmatched(words: list[str], others: list[str], joined: str) -> list[str]:
+    """Words that neither stand in ``joined`` (three letters or more) nor come within a ratio of 80 of another word."""
+    return [w for w in words if not (len(w) >= 3 and w in joined) and all(ratio(w, o) < 80 for o in others)]
+
+
+@F.pandas_udf(DIFFERENCE)
+def name_difference(name1: pd.Series, name2: pd.Series, alias2: pd.Series) -> pd.DataFrame:
+    """Words of either name without a like in the other, typing errors aside; an alias counts as part of the second name."""
+    rows = []
+    for a, b, alias in zip(name1.fillna(""), name2.fillna(""), alias2.fillna(""), strict=True):
+        first, second = a.split(), b.split()
+        rows.append((unmatched(first, second + alias.split(), (b + alias).replace(" ", "")), unmatched(second, first, a.replace(" ", ""))))
+    return pd.DataFrame(rows, columns=DIFFERENCE.names)

@@ -90,3 +90,21 @@ STATES = {
 }
 SHORT_STATES = {"US": list(US_STATES), "India": list(IN_STATES), "France": ["paca", "idf"]}
 POSTCODE_LENGTHS = {"US": [5], "France": [5], "India": [6]}
+
+# Words beside a house number.
+STREET_WORDS = """
+rue r av ave avenue bd boulevard boul all allee chemin ch che pl place impasse imp route rte quai square sq cours crs
+passage pass porte parvis promenade prom esplanade sentier voie villa cite hameau lieu lotissement residence res
+mail rond point faubourg fbg montee traverse ruelle
+st street rd road dr drive ln lane ct court blvd way pkwy parkway hwy highway trl trail cir circle loop ter terrace
+pike pl plaza sq tpke turnpike aly alley row path run pass xing crossing cv cove pt point hl hill hts heights
+main marg nagar road lane gali colony sector block cross
+""".split()
+UNIT_WORDS = """
+appartement app appt apt unit suite ste batiment bat bldg building flat floor fl flr etage
+etg bp cs po box pmb room rm dept escalier esc porte tour lot
+""".split()
+NUMBER_SUFFIXES = "bis ter quater b a c d t".split()
+ORDINAL_WORDS = "eme er e st nd rd th etage floor".split()
+# Words without an initial.
+INITIAL_STOP = "du de des la le les d l and of the et en a pour sur aux au".split()

@@ -184,3 +184,28 @@ def knn(queries: DataFrame, pool: DataFrame, block: str, k: int, vector: str = "
     keys = ["block", "slice", "part"]
     found = asked.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInArrow(best, f"block {kind}, qid long, pid long, c double")
     return top_k(found, ["qid"], "c", k, "pid", "rank")
+
+
+def name_only(entities: DataFrame, records: DataFrame, max_df: int = 2000, k: int = 10) -> DataFrame:
+    """Candidates of records known by name alone: s1, country, tk against m, src, country, tk, one row a distinct token.
+
+    A token of df entities weighs 1 / (1 + ln df); each record keeps its k best.
+    """
+    weights = entities.groupBy("country", "tk").agg(F.count("*").alias("df")).filter(F.col("df") <= max_df)
+    weighed = entities.join(weights.select("country", "tk", (1.0 / (1.0 + F.log("df"))).alias("w")), ["country", "tk"])
+    pairs = records.join(weighed, ["country", "tk"]).groupBy("m", "src", "s1").agg(F.round(F.sum("w"), 6).alias("tw"), F.count("*").alias("tn"))
+    return top_k(pairs, ["m", "src"], "tw", k, "s1").drop("rank")
+
+
+def new_neighbours(reverse: DataFrame, forward: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs of two neighbour lists (s1, m, src, c, rank) that are not ``known``, with ranks and shares of the best."""
+    keys = ["s1", "m", "src"]
+    at = lambda rank: F.max(F.when(F.col("rank") == rank, F.col("c")))
+    record = reverse.groupBy("m", "src").agg(at(1).alias("e_best1"), F.coalesce(at(2), F.lit(0.0)).alias("e_best2"))
+    entity = forward.groupBy("s1").agg(at(1).alias("f_best1"))
+    both = reverse.select(*keys, "c", F.col("rank").alias("e"), F.lit(None).cast("int").alias("f")).unionByName(forward.select(*keys, "c", F.lit(None).cast("int").alias("e"), F.col("rank").alias("f")))
+    pairs = both.join(known.select(*keys).distinct(), keys, "left_anti").groupBy(*keys).agg(F.max("c").alias("e_cos"), F.min("e").alias("e_rank"), F.min("f").alias("f_rank"))
+    share = lambda best: F.round(F.try_divide(F.col("e_cos"), F.col(best)), 6)
+    return pairs.join(record, ["m", "src"], "left").join(entity, "s1", "left").select(
+        *keys, "e_cos", "e_rank", "f_rank", share("e_best1").alias("e_rel1"), F.round(F.col("e_best1") - F.col("e_best2"), 6).alias("e_gap12"), share("f_best1").alias("f_rel1")
+    )

@@ -115,3 +115,31 @@ def overlay(frame: DataFrame, scores: DataFrame, keys: list[str], p: str = "p",
 def in_band(pairs: DataFrame, low: float, high: float, p: str = "pf", sure: float = 0.999) -> DataFrame:
     """low <= pf < high, without kinds 0 and 1 whose model score is sure."""
     return pairs.filter((F.col(p) >= low) & (F.col(p) < high) & ~(F.col("kind").isin(0, 1) & (F.col("p") >= sure)))
+
+
+def open_records(records: DataFrame, scored: DataFrame, claimed: float) -> DataFrame:
+    """Records without a pair scored ``claimed`` or more."""
+    taken = scored.filter(F.col("p") >= claimed).select(*RECORD).distinct()
+    return records.join(taken, RECORD, "left_anti")
+
+
+def select_shifted(pairs: DataFrame, limits: dict[int, float], settings: dict[str, dict], country: str = "country") -> DataFrame:
+    """Record-normalised selection with settings of each country.
+
+    ``settings``: shift (added to the limits of kinds), alpha, rescue (least pn
+    of the best owned pair of an s1 without any other) and drop (kinds never
+    returned).  An unknown kind is an error; rows of other countries go.
+    """
+    each = lambda name: F.create_map(*(F.lit(x) for c, v in settings.items() for x in (c, v[name])))
+    value = lambda name: F.try_element_at(each(name), F.col(country))
+    record = Window.partitionBy(*RECORD)
+    marked = pairs.select("*", F.sum("p").over(record).alias("__sum"), F.max("p").over(record).alias("__max")).filter(F.col(country).isin(*settings) & (F.col("p") >= F.col("__max")))
+    pn = F.round(F.col("p") / F.greatest(F.lit(1.0), F.col("p") + value("alpha") * (F.col("__sum") - F.col("p"))), 9)
+    owned = marked.withColumn("pn", pn).withColumn("__ok", F.col("pn") >= by_kind(F.col("kind"), limits) + value("shift"))
+    entity = Window.partitionBy("s1")
+    best = owned.select("*", F.max("__ok").over(entity).alias("__any"), F.row_number().over(entity.orderBy(F.desc("pn"), "src", "m")).alias("__k"))
+    chosen = best.filter(F.col("__ok") | (~F.col("__any") & (F.col("__k") == 1) & (F.col("pn") >= value("rescue"))))
+    for c, v in settings.items():
+        if v.get("drop"):
+            chosen = chosen.filter(~((F.col(country) == c) & F.col("kind").isin(*v["drop"])))
+    return chosen.drop("__sum", "__max", "__ok", "__any", "__k")

@@ -99,11 +99,12 @@ def pair_class(empty: Column, house1: Column, house2: Column, name1: Column, nam
 
 
 def house_digits(a: Column, b: Column) -> list[Column]:
-    """Equality, difference, containment and edit distance of two house numbers given as text."""
+    """Equality, signed difference, containment and edit distance of two house numbers given as text."""
     both = (a != "") & (b != "")
+    number = lambda c: F.regexp_extract(c, "^([0-9]{1,7})", 1).try_cast("long")
     return [
         F.when(both, (a == b).cast("int")).alias("hv_eq"),
-        F.when(both, F.abs(a.try_cast("long") - b.try_cast("long"))).alias("hv_diff"),
+        F.when(both, number(b) - number(a)).alias("hv_diff"),
         F.when(both, (a.contains(b) | b.contains(a)).cast("int")).alias("hv_sub"),
         F.when(both, F.levenshtein(a, b)).alias("hv_lev"),
         (a == "").cast("int").alias("hv_missing_1"),
@@ -111,6 +112,34 @@ def house_digits(a: Column, b: Column) -> list[Column]:
     ]
 
 
+def token_rarity(pairs: DataFrame, keys: list[str], tokens: str, frequency: DataFrame, name: str) -> DataFrame:
+    """``name``: the greatest ``bucket`` of a pair's ``tokens`` in its country; 0 for unseen ones, -1 without tokens."""
+    each = pairs.select(*keys, "country", F.explode_outer(tokens).alias("tok"))
+    found = each.join(frequency.select("country", "tok", "bucket"), ["country", "tok"], "left")
+    best = found.groupBy(*keys).agg(F.max(F.when(F.col("tok").isNull(), -1).otherwise(F.coalesce("bucket", F.lit(0)))).alias(name))
+    return pairs.join(best, keys, "left")
+
+
+def reverse_ratios(pairs: DataFrame) -> DataFrame:
+    """A pair's scores as shares of its record's best ones; null where the best is 0."""
+    part = lambda a, b: F.round(F.try_divide(F.col(a), F.col(b)), 6)
+    return pairs.select(
+        "*", part("r_score", "r_best1").alias("r_rel1"), F.round(F.col("r_best1") - F.col("r_best2"), 6).alias("r_gap12"),
+        part("r_name_score", "r_name_best").alias("r_name_rel"), part("r_addr_score", "r_addr_best").alias("r_addr_rel"),
+    )
+
+
+def owner_context(pairs: DataFrame, main: DataFrame, confident: float = 0.5, sure: float = 0.75) -> DataFrame:
+    """What ``main`` (s1, m, src, p) says of a pair's record and, by owned pairs, of its s1; 0 where nothing."""
+    from ledgerlink.operators.decision import one_owner
+
+    over = lambda least: F.count(F.when(F.col("p") >= least, 1))
+    record = main.groupBy("m", "src").agg(F.max("p").alias("x_rec_pmax"), over(confident).alias("x_rec_nconf"))
+    entity = one_owner(main).groupBy("s1").agg(over(sure).alias("x_s1_nsel"), F.max("p").alias("x_s1_pmax"))
+    counted = pairs.withColumn("x2_s1_n", F.count("*").over(Window.partitionBy("s1")))
+    return counted.join(record, ["m", "src"], "left").join(entity, "s1", "left").na.fill(0, ["x_rec_pmax", "x_rec_nconf", "x_s1_nsel", "x_s1_pmax"])
+
+
 def neighbour_context(knn: DataFrame) -> DataFrame:
     """Per neighbour pair: the query's first, second and fifth similarity, and gaps to the first and second."""
     w = Window.partitionBy("qid")

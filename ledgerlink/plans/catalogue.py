@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerlink.functions import normalize, similarity
+from ledgerlink.functions import house, normalize, similarity
 from ledgerlink.operators import blocking, decision, evaluate, features, profile, sampling
 from ledgerlink.plans import fixtures as fx
 from ledgerlink.sources import records as io
@@ -184,7 +184,7 @@ def pair_set_features(spark, sf_dir):
 
 
 @query(f"""WITH {RP}, t AS (SELECT s1, m, src, CAST(house_1 AS VARCHAR) AS a, CAST(house_2 AS VARCHAR) AS b FROM rp)
-SELECT s1, m, src, CASE WHEN a = b THEN 1 ELSE 0 END AS hv_eq, abs(CAST(a AS BIGINT) - CAST(b AS BIGINT)) AS hv_diff, CASE WHEN contains(a, b) OR contains(b, a) THEN 1 ELSE 0 END AS hv_sub,
+SELECT s1, m, src, CASE WHEN a = b THEN 1 ELSE 0 END AS hv_eq, CAST(b AS BIGINT) - CAST(a AS BIGINT) AS hv_diff, CASE WHEN contains(a, b) OR contains(b, a) THEN 1 ELSE 0 END AS hv_sub,
   levenshtein(a, b) AS hv_lev, 0 AS hv_missing_1, 0 AS hv_missing_2 FROM t""")
 def house_digit_features(spark, sf_dir):
     p = fx.record_pairs(spark, sf_dir)
@@ -450,3 +450,125 @@ def oof_scores(spark, sf_dir):
     truth = fx.truth(spark, sf_dir).withColumn("label", F.lit(1.0))
     pairs = features.anchors(fx.pairs(spark, sf_dir)).join(truth, keys, "left").withColumn("label", F.coalesce("label", F.lit(0.0)))
     return out_of_fold(pairs, ["p", "g_anchor1_p", "g_n_conf", "g_sum_p_others", "g_p_rank", "g_p_gap"], "label", "s1", keys, folds=2)
+
+
+# ---- raw addresses, names of pairs, contexts
+
+
+@query()
+def house_numbers(spark, sf_dir):
+    """Made addresses in four layouts, so that both passes and each exclusion are met."""
+    key = F.col("c_custkey").cast("string")
+    layouts = [F.concat(F.lit("Apt 12, "), key, F.lit(" bis Rue Haute, 59200 Lille")), F.concat(F.lit("Floor 3rd, Plot "), key, F.lit(", 600001")), F.concat(F.lit("PO Box "), key, F.lit(", Springfield")), F.concat(key, F.lit(" Main St, Reno"))]
+    made = F.element_at(F.array(*layouts), (F.col("c_custkey") % 4 + 1).cast("int"))
+    land = F.when(F.col("c_custkey") % 4 == 1, "India").otherwise("France")
+    return fx.table(spark, sf_dir, "customer").select("c_custkey", house.house_number(made, land).alias("house_no"))
+
+
+@query()
+def name_differences(spark, sf_dir):
+    named = fx.records(spark, sf_dir).select("rid", "country", F.lower("name_key").alias("name_core"))
+    pairs = _name_pairs(spark, sf_dir).withColumn("country", F.lit("all")).withColumn("d", similarity.name_difference(F.lower("a"), F.lower("b"), F.lit("")))
+    both = pairs.select("a", "b", "country", "d.*", house.is_acronym(F.lower("a"), F.lower("a"), F.lower("b")).alias("n_acr"))
+    frequency = features.token_bucket(named.withColumn("country", F.lit("all")), "country", "name_core")
+    rare = features.token_rarity(features.token_rarity(both, ["a", "b"], "missing", frequency, "nm_miss1_df"), ["a", "b"], "extra", frequency, "nm_extra2_df")
+    miss, extra = F.size("missing"), F.size("extra")
+    return rare.select("a", "b", miss.alias("nm_miss1"), extra.alias("nm_extra2"), ((miss > 0) & (extra > 0)).cast("int").alias("nm_subst"), "nm_miss1_df", "nm_extra2_df", "n_acr")
+
+
+@query(f"""WITH {P}, {O}, rec AS (SELECT m, src, max(p) AS x_rec_pmax, count(CASE WHEN p >= 0.5 THEN 1 END) AS x_rec_nconf FROM pairs GROUP BY 1, 2),
+ent AS (SELECT s1, count(CASE WHEN p >= 0.75 THEN 1 END) AS x_s1_nsel, max(p) AS x_s1_pmax FROM owned GROUP BY 1)
+SELECT s1, m, src, x_rec_pmax, x_rec_nconf, coalesce(x_s1_nsel, 0) AS x_s1_nsel, coalesce(x_s1_pmax, 0.0) AS x_s1_pmax, count(*) OVER (PARTITION BY s1) AS x2_s1_n
+FROM pairs LEFT JOIN rec USING (m, src) LEFT JOIN ent USING (s1)""")
+def owner_context(spark, sf_dir):
+    pairs = fx.pairs(spark, sf_dir)
+    return features.owner_context(pairs, pairs).select("s1", "m", "src", "x_rec_pmax", "x_rec_nconf", "x_s1_nsel", "x_s1_pmax", "x2_s1_n")
+
+
+_RATIOS = """s AS (SELECT s1, m, src, p AS r_score, CAST((s1 * 31 + m * 17) % 1000 AS DOUBLE) AS r_name_score, CAST((s1 * 13 + m * 29) % 7 AS DOUBLE) AS r_addr_score FROM pairs)"""
+
+
+@query(f"""WITH {P}, {_RATIOS}, k AS (SELECT *, row_number() OVER (PARTITION BY m, src ORDER BY r_score DESC, s1) AS k FROM s),
+b AS (SELECT *, max(CASE WHEN k = 1 THEN r_score END) OVER w AS b1, max(CASE WHEN k = 2 THEN r_score END) OVER w AS b2, max(r_name_score) OVER w AS nb, max(r_addr_score) OVER w AS ab FROM k WINDOW w AS (PARTITION BY m, src))
+SELECT s1, m, src, round(r_score / nullif(b1, 0), 6) AS r_rel1, round(b1 - b2, 6) AS r_gap12, round(r_name_score / nullif(nb, 0), 6) AS r_name_rel, round(r_addr_score / nullif(ab, 0), 6) AS r_addr_rel FROM b""")
+def reverse_ratios(spark, sf_dir):
+    w = Window.partitionBy("m", "src")
+    scored = fx.pairs(spark, sf_dir).select("s1", "m", "src", F.col("p").alias("r_score"), ((F.col("s1") * 31 + F.col("m") * 17) % 1000).cast("double").alias("r_name_score"), ((F.col("s1") * 13 + F.col("m") * 29) % 7).cast("double").alias("r_addr_score"))
+    ranked = scored.withColumn("k", F.row_number().over(w.orderBy(F.desc("r_score"), "s1")))
+    at = lambda k: F.max(F.when(F.col("k") == k, F.col("r_score"))).over(w)
+    best = ranked.select("*", at(1).alias("r_best1"), at(2).alias("r_best2"), F.max("r_name_score").over(w).alias("r_name_best"), F.max("r_addr_score").over(w).alias("r_addr_best"))
+    return features.reverse_ratios(best).select("s1", "m", "src", "r_rel1", "r_gap12", "r_name_rel", "r_addr_rel")
+
+
+@query(f"""WITH {P}, {R} SELECT rid AS m, src FROM records LEFT JOIN (SELECT m AS rid, src, max(p) AS best FROM pairs GROUP BY 1, 2) b USING (rid, src) WHERE src <> 1 AND coalesce(best, 0) < 0.9""")
+def open_records(spark, sf_dir):
+    return decision.open_records(fx.records(spark, sf_dir).filter("src <> 1").select(F.col("rid").alias("m"), "src"), fx.pairs(spark, sf_dir), 0.9)
+
+
+@query(f"""WITH {P}, k AS (SELECT *, (s1 + m) % 3 AS kind, CASE WHEN s1 % 2 = 0 THEN 'X' ELSE 'Y' END AS country, sum(p) OVER (PARTITION BY m, src) AS total, max(p) OVER (PARTITION BY m, src) AS mx FROM pairs),
+n AS (SELECT *, round(p / greatest(1.0, p + CASE country WHEN 'X' THEN 0.5 ELSE 1.0 END * (total - p)), 9) AS pn, CASE kind WHEN 0 THEN 0.25 WHEN 1 THEN 0.375 ELSE 0.5 END + CASE country WHEN 'X' THEN 0.0 ELSE 0.0625 END AS t FROM k WHERE p >= mx),
+a AS (SELECT *, max(CAST(pn >= t AS INT)) OVER (PARTITION BY s1) AS any_ok, row_number() OVER (PARTITION BY s1 ORDER BY pn DESC, src, m) AS r FROM n)
+SELECT s1, m, src, kind, round(pn, 6) AS pn FROM a WHERE (pn >= t OR (any_ok = 0 AND r = 1 AND pn >= CASE country WHEN 'X' THEN 0.125 ELSE 0.25 END)) AND NOT (country = 'Y' AND kind = 2)""")
+def shifted_select(spark, sf_dir):
+    kinds = fx.pairs(spark, sf_dir).withColumn("kind", (F.col("s1") + F.col("m")) % 3).withColumn("country", F.when(F.col("s1") % 2 == 0, "X").otherwise("Y"))
+    settings = {"X": {"shift": 0.0, "alpha": 0.5, "rescue": 0.125, "drop": []}, "Y": {"shift": 0.0625, "alpha": 1.0, "rescue": 0.25, "drop": [2]}}
+    return decision.select_shifted(kinds, {0: 0.25, 1: 0.375, 2: 0.5}, settings).select("s1", "m", "src", "kind", F.round("pn", 6).alias("pn"))
+
+
+@query(f"""WITH {R}, tk AS (SELECT DISTINCT rid, src, country, 'w|' || w AS tk FROM (SELECT rid, src, country, unnest(string_split(name_key, ' ')) AS w FROM records) z WHERE length(w) >= 3),
+wt AS (SELECT country, tk, 1.0 / (1.0 + ln(count(*))) AS w FROM tk WHERE src = 1 GROUP BY 1, 2 HAVING count(*) <= 2000),
+pr AS (SELECT r.rid AS m, r.src, s.rid AS s1, round(sum(w), 6) AS tw, count(*) AS tn FROM (SELECT * FROM tk WHERE src <> 1) r JOIN (SELECT * FROM tk WHERE src = 1) s USING (country, tk) JOIN wt USING (country, tk) GROUP BY 1, 2, 3)
+SELECT m, src, s1, tw, tn FROM (SELECT *, row_number() OVER (PARTITION BY m, src ORDER BY tw DESC, s1) AS k FROM pr) z WHERE k <= 10""")
+def name_only_candidates(spark, sf_dir):
+    tokens = F.transform(F.filter(F.array_distinct(F.split("name_key", " ")), lambda w: F.char_length(w) >= 3), lambda w: F.concat(F.lit("w|"), w))
+    keyed = fx.records(spark, sf_dir).select("rid", "src", "country", F.explode(tokens).alias("tk"))
+    return blocking.name_only(keyed.filter("src = 1").select(F.col("rid").alias("s1"), "country", "tk"), keyed.filter("src <> 1").withColumnRenamed("rid", "m"))
+
+
+@query(f"""WITH {P}, rv AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY m, src ORDER BY p DESC, s1) AS k FROM pairs) z WHERE k <= 5),
+fw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY p DESC, src, m) AS k FROM pairs) z WHERE k <= 3),
+u AS (SELECT s1, m, src, p, k AS e, CAST(NULL AS INT) AS f FROM rv UNION ALL SELECT s1, m, src, p, CAST(NULL AS INT), k FROM fw),
+g AS (SELECT s1, m, src, max(p) AS e_cos, min(e) AS e_rank, min(f) AS f_rank FROM u WHERE (s1, m, src) NOT IN (SELECT (s1, m, src) FROM pairs WHERE p >= 0.9) GROUP BY 1, 2, 3),
+rec AS (SELECT m, src, max(CASE WHEN k = 1 THEN p END) AS b1, coalesce(max(CASE WHEN k = 2 THEN p END), 0.0) AS b2 FROM rv GROUP BY 1, 2), ent AS (SELECT s1, max(CASE WHEN k = 1 THEN p END) AS f1 FROM fw GROUP BY 1)
+SELECT s1, m, src, e_cos, CAST(e_rank AS INT) AS e_rank, CAST(f_rank AS INT) AS f_rank, round(e_cos / nullif(b1, 0), 6) AS e_rel1, round(b1 - b2, 6) AS e_gap12, round(e_cos / nullif(f1, 0), 6) AS f_rel1 FROM g LEFT JOIN rec USING (m, src) LEFT JOIN ent USING (s1)""")
+def new_neighbours(spark, sf_dir):
+    pairs = fx.pairs(spark, sf_dir)
+    ranked = lambda by, order, k: pairs.select("s1", "m", "src", F.col("p").alias("c"), F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("p"), *order)).alias("rank")).filter(F.col("rank") <= k)
+    return blocking.new_neighbours(ranked(["m", "src"], ["s1"], 5), ranked(["s1"], ["src", "m"], 3), pairs.filter("p >= 0.9"))
+
+
+@query("""SELECT country, house_no, n, total FROM (SELECT *, sum(n) OVER (PARTITION BY country) AS total, row_number() OVER (PARTITION BY country ORDER BY n DESC, house_no) AS k FROM (
+  SELECT p_type AS country, p_size AS house_no, count(*) AS n FROM part GROUP BY 1, 2) z) y WHERE k = 1""")
+def group_mode(spark, sf_dir):
+    return features.majority_map(fx.records(spark, sf_dir), "country", "house_no", 1, 0.0)
+
+
+_SPLIT_SQL = """split AS (SELECT c_custkey, c_mktsegment AS country, CASE WHEN c_custkey % 5 = 0 THEN 'val' ELSE 'fit' END AS role, c_custkey % 10 = 0 AS is_dev FROM customer)"""
+_LANDS = ["BUILDING", "MACHINERY"]
+
+
+@query(f"""WITH {_SPLIT_SQL} SELECT 'val' AS subset, 'fit' AS part, c_custkey FROM split WHERE role = 'fit' UNION ALL SELECT 'val', 'eval', c_custkey FROM split WHERE role = 'val'
+UNION ALL SELECT 'dev', 'fit', c_custkey FROM split WHERE role = 'fit' UNION ALL SELECT 'dev', 'eval', c_custkey FROM split WHERE role = 'val' AND is_dev """ + "".join(
+    f"UNION ALL SELECT 'loco_{c}', 'fit', c_custkey FROM split WHERE role = 'fit' AND country <> '{c}' UNION ALL SELECT 'loco_{c}', 'eval', c_custkey FROM split WHERE role = 'val' AND country = '{c}' " for c in _LANDS
+))
+def named_subsets(spark, sf_dir):
+    key = F.col("c_custkey")
+    split = fx.table(spark, sf_dir, "customer").select(key, F.col("c_mktsegment").alias("country"), F.when(key % 5 == 0, "val").otherwise("fit").alias("role"), (key % 10 == 0).alias("is_dev"))
+    return sampling.subsets(split, "c_custkey", _LANDS)
+
+
+@query("""SELECT c_custkey, CASE WHEN d < 6553 THEN 1 WHEN d < 19661 THEN 2 ELSE 0 END AS sample FROM (SELECT c_custkey, (c_custkey * 48271 + 11) % 65537 AS d FROM customer) z""")
+def successive_samples(spark, sf_dir):
+    return sampling.successive(fx.table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", [0.1, 0.2])
+
+
+@query(f"""WITH {P}, {T_}, k AS (SELECT t.s1, t.m, t.src, c.s1 IS NULL AS mined FROM truth t LEFT JOIN (SELECT * FROM pairs WHERE p >= 0.6) c ON t.s1 = c.s1 AND t.m = c.m AND t.src = c.src)
+SELECT s1, m, src, mined FROM k WHERE mined OR ((s1 * 131 + m) * 48271 + 11) % 65537 < 16384""")
+def hard_positives(spark, sf_dir):
+    cands = fx.pairs(spark, sf_dir).filter("p >= 0.6")
+    return sampling.hard_positives(fx.truth(spark, sf_dir), cands, ["s1", "m", "src"], F.col("s1") * 131 + F.col("m"), 0.25)
+
+
+@query()
+def script_inventory(spark, sf_dir):
+    return profile.scripts(fx.table(spark, sf_dir, "documents"), "text", ["lang"])
