@@ -2,11 +2,11 @@
 
 Training documents give word counts and word-pair counts.  Word counts are
 exact, through ``wordexchange``.  A pair seen c times has the level
-floor(log2 c); for each level from 1 up to its own the pair is put into a Bloom
-filter, so a pair's quantised count is read back by probing level after level
-until a probe fails.  Pairs seen once have level 0, like unseen ones, and take
-no room.  The filter has a segment for each hash group of pairs, sized by that
-group's keys and built by the task that counted it.
+1 + floor(log2 c); for each level from 1 up to its own the pair is put into a
+Bloom filter, so a pair's quantised count, 2 to the level less one, is read back
+by probing level after level until a probe fails.  A pair seen once has level 1,
+an unseen one none.  The filter has a segment for each hash group of pairs, sized
+by that group's keys and built by the task that counted it.
 
 Segments are broadcast in rounds of at most ``round_bytes`` each (one round,
 unless the filter is larger), and every round adds its pairs' share, so what
@@ -17,9 +17,9 @@ A word w after h has probability
     (1 - a) * (c(w) + 0.5) / (N + 0.5 * (V + 1)) + a * min(1, q(h, w) / (f * c(h)))
 
 q being the quantised count.  a and f belong to the level of c(h) and are taken
-over all training tokens that follow words of this level: f is the share whose
-pair the filter holds, a the same with pairs of level 1 counted half, as each
-would be without its own occurrence.  Where h is unknown, a is 0.  The first
+over all training tokens that follow words of this level: f is the share of their
+counts that quantising leaves, a the share whose pair the filter would still hold
+without its own occurrence, so not level 1.  Where h is unknown, a is 0.  The first
 word follows the end token.  score is the sum of log10 over all tokens, the
 end included.
 
@@ -70,9 +70,14 @@ def _probes(keys: np.ndarray, level: int, bits: np.ndarray) -> np.ndarray:
     return (a[:, None] + b[:, None] * np.arange(PROBES, dtype=np.uint64)) % bits[:, None]
 
 
+def _quantise(counts: np.ndarray) -> np.ndarray:
+    """1 + floor(log2 c); 0 for 0."""
+    return np.frexp(counts.astype(np.float64))[1]
+
+
 def segment(hashes: np.ndarray, counts: np.ndarray) -> bytes:
-    """Bloom filter of one group's pairs with two or more occurrences."""
-    levels = np.frexp(counts.astype(np.float64))[1] - 1
+    """Bloom filter of one group's pairs."""
+    levels = _quantise(counts)
     keys = int(levels.sum())
     if not keys:
         return b""
@@ -101,7 +106,7 @@ class Filter:
         return (part >= self.first) & (part < self.first + len(self.bits))
 
     def counts(self, hashes: np.ndarray) -> np.ndarray:
-        """Quantised counts: 2 to the level; 0 for level 0 and for pairs of other rounds."""
+        """Quantised counts: 2 to the level less one; 0 for unseen pairs and for pairs of other rounds."""
         chunks = [self._counts(hashes[a : a + CHUNK]) for a in range(0, len(hashes), CHUNK)]
         return np.concatenate(chunks) if chunks else np.zeros(0)
 
@@ -110,14 +115,14 @@ class Filter:
         part = (hashes % np.uint64(self.parts)).astype(np.int64) - self.first
         live = np.flatnonzero((part >= 0) & (part < len(self.bits)))
         live = live[self.bits[part[live]] > 0]
-        for level in range(1, 64):
+        for level in range(1, LEVELS + 1):
             if not len(live):
                 break
             seg = part[live]
             at = _probes(hashes[live], level, self.bits[seg])
             byte = self.data[self.start[seg][:, None] + (at >> np.uint64(3)).astype(np.int64)]
             live = live[((byte >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=1)]
-            out[live] = 2.0**level
+            out[live] = 2.0 ** (level - 1)
         return out
 
 
@@ -161,8 +166,10 @@ def _segments(table: pa.Table) -> pa.Table:
     order = np.argsort(hashes, kind="stable")
     hashes, counts = hashes[order], counts[order]
     first = np.flatnonzero(np.diff(hashes, prepend=~hashes[:1] if len(hashes) else np.zeros(0, np.uint64)))
-    bloom = segment(hashes[first], np.add.reduceat(counts, first)) if len(first) else b""
-    return pa.table({"part": pa.array([rows[0]["part"]], pa.int32()), "bloom": pa.array([bloom], pa.binary()), "size": pa.array([len(bloom)], pa.int64())})
+    counts = np.add.reduceat(counts, first) if len(first) else counts
+    bloom, levels = segment(hashes[first], counts), _quantise(counts)
+    sums = [np.bincount(levels, weights=x, minlength=LEVELS + 1) for x in (np.ldexp(1.0, levels - 1), counts)]
+    return pa.table({"part": pa.array([rows[0]["part"]], pa.int32()), "bloom": pa.array([bloom], pa.binary()), "size": pa.array([len(bloom)], pa.int64()), **{k: pa.array([x.tolist()], pa.list_(pa.float64())) for k, x in zip(("quantised", "counted"), sums, strict=True)}})
 
 
 def score(
@@ -178,7 +185,7 @@ def score(
     # pair counts, and from them the filter's segments
     arrow = pa.schema([("part", pa.int32()), ("steps", pa.binary()), ("counts", pa.binary())])
     pairs = buckets.drop("ids").mapInArrow(_pair_blobs(parts, arrow), "part int, steps binary, counts binary")
-    segments = stage(pairs.groupBy("part").applyInArrow(_segments, "part int, bloom binary, size long"), "segments")
+    segments = stage(pairs.groupBy("part").applyInArrow(_segments, "part int, bloom binary, size long, quantised array<double>, counted array<double>"), "segments")
 
     # word counts
     def count_words(table: pa.Table) -> pa.Table:
@@ -246,10 +253,15 @@ def score(
 
         return body
 
+    left = np.zeros(LEVELS + 1)  # of a level's counts, the share that quantising leaves
+    by_level = segments.select(F.posexplode(F.arrays_zip("quantised", "counted")).alias("level", "sums")).groupBy("level").agg(F.sum("sums.quantised"), F.sum("sums.counted"))
+    for level, quantised, counted_in in by_level.collect():
+        left[level] = quantised / max(counted_in, 1)
+
     casts = [load(*x) for x in rounds]
     tally = np.zeros((3, LEVELS))
     for cast in casts:
-        for r in counted.mapInArrow(over_buckets(cast, _tally), "level int, tokens double, held double, kept double").groupBy("level").agg(*(F.sum(c) for c in ("tokens", "held", "kept"))).collect():
+        for r in counted.mapInArrow(over_buckets(cast, lambda row, bloom: _tally(row, bloom, left)), "level int, tokens double, held double, kept double").groupBy("level").agg(*(F.sum(c) for c in ("tokens", "held", "kept"))).collect():
             tally[:, r[0]] = np.maximum(tally[0, r[0]], r[1]), tally[1, r[0]] + r[2], tally[2, r[0]] + r[3]
     weight, share = tally[2] / np.maximum(tally[0], 1), np.maximum(tally[1] / np.maximum(tally[0], 1), 1e-9)
 
@@ -277,7 +289,7 @@ def _level(counts: np.ndarray) -> np.ndarray:
     return np.maximum(np.frexp(counts)[1] - 1, 0)
 
 
-def _tally(row: dict, bloom: Filter) -> pa.RecordBatch:
+def _tally(row: dict, bloom: Filter, left: np.ndarray) -> pa.RecordBatch:
     """Training tokens by the level of the count of the word before them."""
     totals = wx.expand(row["totals"], np.uint64).astype(np.float64)
     _, sizes, h, _, at, hashes = _known_pairs(row)
@@ -285,7 +297,7 @@ def _tally(row: dict, bloom: Filter) -> pa.RecordBatch:
     found, level = bloom.counts(hashes), _level(totals[h])
     sums = lambda x: np.bincount(level, weights=x, minlength=LEVELS)
     return pa.RecordBatch.from_arrays(
-        [pa.array(range(LEVELS), pa.int32()), *(pa.array(sums(x)) for x in (use, use * (found > 0), use * np.where(found > 2, 1.0, 0.5 * (found > 0))))], names=["level", "tokens", "held", "kept"]
+        [pa.array(range(LEVELS), pa.int32()), *(pa.array(sums(x)) for x in (use, use * left[_quantise(found)], use * (found > 1)))], names=["level", "tokens", "held", "kept"]
     )
 
 

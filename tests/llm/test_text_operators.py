@@ -83,6 +83,22 @@ def test_lm_filter_reads_back_counts():
     assert (bloom.counts(rng.integers(0, 2**63, 4000).astype(np.uint64)) > 0).mean() < 0.02
 
 
+def test_lm_filter_holds_pairs_seen_once():
+    rng = np.random.default_rng(2)
+    hashes = rng.integers(0, 2**63, 4000).astype(np.uint64)
+    counts = np.where(np.arange(4000) % 4 == 0, rng.integers(2, 200, 4000), 1)
+    got = lm.Filter(0, [lm.segment(hashes, counts)], 1).counts(hashes)
+    assert (got >= 1).all() and (got == 2.0 ** np.floor(np.log2(counts))).mean() > 0.98
+
+
+def test_lm_tells_a_pair_seen_once_from_an_unseen_one(spark):
+    words = [f"w{k}" for k in range(400)]
+    train = [(k, " ".join(words[k : k + 20])) for k in range(0, 400, 20)] + [(1000 + k, w) for k, w in enumerate(words)]
+    held = [(2000, " ".join(words[40:60])), (2001, " ".join(words[40:60][::-1]))]
+    got = {r.doc_id: r for r in lm.score(spark.createDataFrame(train + held, "doc_id long, text string"), F.col("doc_id") >= 2000, parts=3).collect()}
+    assert abs(got[2000].base_score - got[2001].base_score) < 1e-9 and got[2000].score > got[2001].score + 1
+
+
 def test_lm_beats_words_on_held_out_text(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     r = lm.score(d, F.crc32(F.col("doc_id").cast("string")) % 5 == 1).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
