@@ -38,10 +38,14 @@ scored AS (SELECT country, q.rid AS qid, x.rid AS rid, round(sum(wt), 6) AS scor
     JOIN (SELECT * FROM tok WHERE rid % 3 <> 0) x USING (country, tok) JOIN wts USING (country, tok) GROUP BY 1, 2, 3)"""
 
 
-def _doc_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _doc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.split(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " "), " ")
-    tokens = fx.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("rid"), F.col("lang").alias("country"), F.explode(F.array_distinct(words)).alias("tok")).filter(F.length("tok") >= 5).distinct()
-    return blocking.score_pairs(tokens.filter("rid % 3 = 0"), tokens.filter("rid % 3 <> 0"), ["country"], 20).withColumn("score", F.round("score", 6))
+    return fx.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("rid"), F.col("lang").alias("country"), F.explode(F.array_distinct(words)).alias("tok")).filter(F.length("tok") >= 5).distinct()
+
+
+def _doc_scores(spark: SparkSession, sf_dir: str, max_df: int = 20) -> DataFrame:
+    tokens = _doc_tokens(spark, sf_dir)
+    return blocking.score_pairs(tokens.filter("rid % 3 = 0"), tokens.filter("rid % 3 <> 0"), ["country"], max_df).withColumn("score", F.round("score", 6))
 
 
 @query(f"WITH {_DOC_TOKENS} SELECT * FROM (SELECT country, qid, rid, score, row_number() OVER (PARTITION BY country, qid ORDER BY score DESC, rid) AS rank FROM scored) z WHERE rank <= 5")
@@ -64,12 +68,42 @@ s AS (SELECT ids.s1, coalesce(nt, 0) AS nt, coalesce(tp, 0) AS tp, coalesce(nc,
 SELECT round(sum(tp) / sum(nt), 6) AS pair_recall, round(avg(CASE WHEN nt > 0 THEN CASE WHEN tp = nt THEN 1.0 ELSE 0.0 END END), 6) AS entity_full_recall,
   round(avg(CASE WHEN nt = 0 AND tp = 0 THEN 1.0 WHEN tp = 0 THEN 0.0 ELSE 1.25 * tp / (tp + 0.25 * nt) END), 6) AS oracle_f05, round(avg(nc), 6) AS cands_per_entity FROM s""")
 def blocking_report(spark, sf_dir):
-    cands = blocking.top_k(_doc_scores(spark, sf_dir), ["country", "qid"], "score", 5, "rid").select(F.col("qid").alias("s1"), F.col("rid").alias("m"))
+    return _blocking_report(spark, sf_dir, 20, 5)
+
+
+def _blocking_report(spark: SparkSession, sf_dir: str, max_df: int, k: int) -> DataFrame:
+    cands = blocking.top_k(_doc_scores(spark, sf_dir, max_df), ["country", "qid"], "score", k, "rid").select(F.col("qid").alias("s1"), F.col("rid").alias("m"))
     docs = fx.table(spark, sf_dir, "documents").select("doc_id", "text")
     left, right = docs.filter("doc_id % 3 = 0").withColumnRenamed("doc_id", "s1"), docs.filter("doc_id % 3 <> 0").withColumnRenamed("doc_id", "m")
     return evaluate.blocking_report(cands, left.join(right, "text").select("s1", "m"), left.select("s1"), "s1", ["m"])
 
 
+#: Limits of the reference: blocking (document frequency, best by total), reverse blocking, rare keys.  The queries
+#: above and their SQL have 20, 20 and 20, at which identical texts are lost as the table grows.
+BLOCK_DF, BLOCK_K, REVERSE_DF, EXTENSION_DF, EXTENSION_K = 3000, 20, 300, 50, 10
+#: Reverse blocking weighs tokens by the side that it finds.
+_FULL = _DOC_TOKENS.replace("HAVING count(*) <= 20", f"HAVING count(*) <= {BLOCK_DF}")
+_REVERSE_FULL = _DOC_TOKENS.replace("HAVING count(*) <= 20", f"HAVING count(*) <= {REVERSE_DF}").replace("tok WHERE rid % 3 <> 0 GROUP", "tok WHERE rid % 3 = 0 GROUP")
+
+
+@query(ORACLES["idf_block_topk"].replace(_DOC_TOKENS, _FULL).replace("rank <= 5", f"rank <= {BLOCK_K}"))
+def idf_block_topk_full(spark, sf_dir):
+    return blocking.top_k(_doc_scores(spark, sf_dir, BLOCK_DF), ["country", "qid"], "score", BLOCK_K, "rid")
+
+
+@query(ORACLES["reverse_block_topk"].replace(_DOC_TOKENS, _REVERSE_FULL))
+def reverse_block_topk_full(spark, sf_dir):
+    tokens = _doc_tokens(spark, sf_dir)
+    found = blocking.score_pairs(tokens.filter("rid % 3 <> 0"), tokens.filter("rid % 3 = 0"), ["country"], REVERSE_DF)
+    pairs = found.select("country", F.col("rid").alias("qid"), F.col("qid").alias("rid"), F.round("score", 6).alias("score"))
+    return blocking.reverse_top_k(pairs, ["country", "rid"], 3, 10, F.col("rid") % 10 == 1, "qid").select("country", "qid", "rid", "score", "r_rank", "r_best1", "r_best2")
+
+
+@query(ORACLES["blocking_report"].replace(_DOC_TOKENS, _FULL).replace("k <= 5", f"k <= {BLOCK_K}"))
+def blocking_report_full(spark, sf_dir):
+    return _blocking_report(spark, sf_dir, BLOCK_DF, BLOCK_K)
+
+
 # ---- decisions on scored pairs
 
 
@@ -169,11 +203,20 @@ rare AS (SELECT key FROM keyed WHERE src <> 1 AND key IN (SELECT key FROM keyed
 f AS (SELECT * FROM x WHERE NOT EXISTS (SELECT 1 FROM rp WHERE rp.s1 = x.s1 AND rp.m = x.m AND rp.src = x.src AND rp.house_1 = rp.house_2))
 SELECT s1, m, src, xk FROM (SELECT *, row_number() OVER (PARTITION BY s1, src ORDER BY xk DESC, m) AS k FROM f) z WHERE k <= 5""")
 def extension_rare_keys(spark, sf_dir):
+    return _extension(spark, sf_dir, 20, 5)
+
+
+@query(ORACLES["extension_rare_keys"].replace("HAVING count(*) <= 20", f"HAVING count(*) <= {EXTENSION_DF}").replace("k <= 5", f"k <= {EXTENSION_K}"))
+def extension_rare_keys_full(spark, sf_dir):
+    return _extension(spark, sf_dir, EXTENSION_DF, EXTENSION_K)
+
+
+def _extension(spark: SparkSession, sf_dir: str, max_df: int, k: int) -> DataFrame:
     r = fx.records(spark, sf_dir)
     key = F.array(F.concat_ws("|", "country", F.lit("h"), "house_no"), F.concat_ws("|", "country", F.lit("n"), "name_key", "house_no"), F.concat_ws("|", F.lit("s"), "state", "name_key", "house_no"))
     keyed = r.select("rid", "src", F.explode(key).alias("key"))
     known = fx.record_pairs(spark, sf_dir).filter("house_1 = house_2")
-    return blocking.rare_keys(keyed.filter("src = 1").select(F.col("rid").alias("s1"), "key"), keyed.filter("src <> 1").select(F.col("rid").alias("m"), "src", "key"), known, 20, 5)
+    return blocking.rare_keys(keyed.filter("src = 1").select(F.col("rid").alias("s1"), "key"), keyed.filter("src <> 1").select(F.col("rid").alias("m"), "src", "key"), known, max_df, k)
 
 
 @query(f"""WITH {RP} SELECT s1, m, src, CASE WHEN state_1 = state_2 THEN 1 ELSE 0 END AS state_eq,
