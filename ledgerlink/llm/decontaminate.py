@@ -9,7 +9,9 @@ the threshold.  WAND's first test is done for all passages of a text together: a
 passage is skipped if the greatest weights of its terms don't make the
 threshold in sum.  The others walk the postings with block maxima.  A hit counts as a
 leak if the text around it holds enough of the item's question and of its
-answer, the item's last third, as word n-grams.
+answer, the item's last third, as word n-grams.  A part of fewer than ``GRAM``
+words must stand there word for word; one of fewer than twice as many has so few
+n-grams that its words in order count too.
 
 The index is broadcast in shards of at most ``INDEX_BYTES`` of item text each;
 a larger benchmark takes several passes over the texts, never a larger
@@ -48,9 +50,33 @@ def words_of(text: str) -> list[str]:
     return [w for w in (x.strip(_EDGES) for x in text.lower().split()) if w]
 
 
-def grams(words: list[str]) -> set[tuple[str, ...]]:
+def grams(words: list[str], n: int = GRAM) -> set[tuple[str, ...]]:
     """Word n-grams; of fewer words, the one gram they make."""
-    return {tuple(words[i : i + GRAM]) for i in range(max(1, len(words) - GRAM + 1))} if words else set()
+    return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
+
+
+def in_order(part: list[str], around: list[str]) -> float:
+    """The greatest share of a part's words that stand in order within a stretch of two words more than it has."""
+    masks: dict[str, int] = {}
+    for k, w in enumerate(part):
+        masks[w] = masks.get(w, 0) | 1 << k
+    hits = [masks.get(w, 0) for w in around]
+    full, best = (1 << len(part)) - 1, 0
+    for i, hit in enumerate(hits):
+        if hit:
+            v = full  # a zero for each word of the longest common subsequence
+            for m in hits[i : i + len(part) + 2]:
+                v = ((v + (v & m)) | (v & ~m)) & full
+            best = max(best, len(part) - v.bit_count())
+    return best / len(part)
+
+
+def share(part: list[str], around: list[str], around_grams: set[tuple[str, ...]]) -> float:
+    """How much of a part ``around`` holds, as n-grams of GRAM words, or of all a shorter part's words; a part with few grams also as words in order."""
+    n = min(GRAM, len(part))
+    own = grams(part, n)
+    found = len(own & (around_grams if n == GRAM else grams(around, n))) / len(own)
+    return max(found, in_order(part, around)) if GRAM <= len(part) < 2 * GRAM and found < 1 else found
 
 
 class Index:
@@ -78,7 +104,7 @@ class Index:
         self.parts = []
         for _, w in self.items:
             cut = len(w) - max(3, len(w) // 3)
-            self.parts.append((grams(w[: max(cut, 0)]) or grams(w), grams(w[max(cut, 0) :])))
+            self.parts.append((w[: max(cut, 0)] or w, w[max(cut, 0) :]))
 
     def terms(self, words: np.ndarray) -> np.ndarray:
         """Term numbers of neighbouring words' numbers; the number of terms where no item holds the pair."""
@@ -168,8 +194,9 @@ def leaks(text: str, index: Index, numbers: _Numbers) -> list[tuple[object, int,
             n = index.owner[piece]
             item, words = index.items[n]
             room = len(words) + PASSAGE
-            around = grams(words_of(" ".join(raw[max(0, first - room) : last + room])))
-            shares = [len(p & around) / len(p) for p in index.parts[n]]
+            around = words_of(" ".join(raw[max(0, first - room) : last + room]))
+            held = grams(around)
+            shares = [share(p, around, held) for p in index.parts[n]]
             if shares[0] >= QUESTION_SHARE and shares[1] >= ANSWER_SHARE and (n not in found or score > found[n][2]):
                 found[n] = (item, first, score, *shares)
     return list(found.values())

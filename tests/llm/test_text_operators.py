@@ -227,6 +227,25 @@ def test_decontamination(spark, docs, no_docs):
     assert decontaminate.find(docs, bench).collect() == [] and decontaminate.find(no_docs, bench).collect() == [] and decontaminate.find(texts, bench.limit(0)).collect() == []
 
 
+def test_decontamination_of_short_items(spark):
+    words = "name the tall grey bird that nests under seven old bridges near winter harbours twice".split()
+    bench = spark.createDataFrame([(n, " ".join(f"{w}{n}" for w in words[:n])) for n in range(2, 16)] + [(1, "lone")], "item_id long, text string")
+    noise = [f"filler{k}" for k in range(300)]
+    texts = spark.createDataFrame([(n, " ".join([*noise[: 20 * n], *(f"{w}{n}" for w in words[:n]), *noise])) for n in range(2, 16)] + [(0, " ".join(noise)), (1, "lone")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.find(texts, bench).collect()) == [(n, n) for n in range(2, 16)]
+
+
+def test_decontamination_of_near_copies(spark):
+    item = "which small town in the northern valley keeps its old clock tower painted bright yellow today".split()
+    assert len(item) == 16
+    copies = [item[:k] + ["changed"] + item[k + 1 :] for k in range(11, 16)]
+    other = item[:11] + "has a new railway station".split()
+    noise = [f"filler{k}" for k in range(200)]
+    rows = [(k, " ".join([*noise, *c, *noise])) for k, c in enumerate([*copies, other])]
+    found = decontaminate.find(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    assert sorted(r.doc_id for r in found) == [0, 1, 2, 3, 4]
+
+
 def test_wand_equals_full_scan(spark):
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
     index = decontaminate.Index(items)
