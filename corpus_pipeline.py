@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlink.llm import bpe, decontaminate, neardup, quality, toxicity
 from ledgerlink.staging import stage
@@ -13,31 +14,41 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _where(docs: DataFrame, verdicts: DataFrame, condition: str) -> DataFrame:
-    """The rows of ``docs`` without those whose id a verdict rejects; rows with a null id stay."""
-    out = verdicts.filter(condition).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(out, docs["doc_id"] == F.col("__id"), "left_anti")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with __key, never null and shared only by rows of the same id and text; keys sort as the ids, null last."""
+    number = F.col("doc_id").cast("string")
+    if isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        number = F.lpad((F.col("doc_id").cast("decimal(20,0)") + F.lit(str(2**63)).cast("decimal(20,0)")).cast("string"), 20, "0")
+    text = F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("-"))
+    return docs.withColumn("__key", F.concat(F.coalesce(number, F.lit("~")), F.lit(":"), text))
+
+
+def _without(keyed: DataFrame, rejected: DataFrame) -> DataFrame:
+    """The rows whose key is not rejected."""
+    return keyed.join(rejected.select("__key").distinct(), "__key", "left_anti")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.train(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
-    verdicts = stage(toxicity.score(docs, model).filter("predicted = 1").select("doc_id", "predicted"), "toxic")
-    return _where(docs, verdicts, "predicted = 1")
+    keyed = _keyed(docs)
+    return _without(keyed, stage(toxicity.score(keyed, model, "__key").filter("predicted = 1").select("__key"), "toxic")).drop("__key")
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.weights(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels").filter("quality = 1"))
-    verdicts = stage(quality.judge(docs, model).filter("NOT kept").select("doc_id", "kept"), "poor")
-    return _where(docs, verdicts, "NOT kept")
+    keyed = _keyed(docs)
+    return _without(keyed, stage(quality.judge(keyed, model, "__key").filter("NOT kept").select("__key"), "poor")).drop("__key")
 
 
 def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return neardup.keep_one(docs, neardup.join(docs))
+    keyed = _keyed(docs)
+    others = neardup.join(keyed, "__key").filter("class_id <> __key")
+    return _without(keyed, others).dropDuplicates(["__key"]).drop("__key")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = stage(decontaminate.find(docs, _table(spark, sf_dir, "benchmark")).select("doc_id", "item_id"), "leaks")
-    return _where(docs, found, "item_id IS NOT NULL")
+    keyed = _keyed(docs)
+    return _without(keyed, stage(decontaminate.find(keyed, _table(spark, sf_dir, "benchmark"), "__key").filter("item_id IS NOT NULL").select("__key"), "leaks")).drop("__key")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
