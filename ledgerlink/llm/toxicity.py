@@ -11,7 +11,9 @@ The model is fitted on a bounded sample of labelled documents: per class the
 
 Null and empty texts have no sentence and the score 0.  Labels that are null
 are left out; of a document labelled twice either label may be used, once.
-With no labelled row of both classes the score of every text is 0.
+With no labelled row of both classes the score of every text is 0.  Texts that
+do not fit ``SAMPLE_BYTES`` are skipped; if that leaves a class without any, it
+is an error.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import defaultdict
+from collections.abc import Iterable
 from itertools import count
 
 import numpy as np
@@ -125,14 +128,33 @@ def train(docs: DataFrame, labels: DataFrame, use: Column | None = None, id_col:
     # copies of a text say nothing more
     order = F.xxhash64("__id", "__text")
     kept = both.groupBy("__text", "__label").agg(F.min("__id").alias("__id")).select("__text", "__label", order.alias("__order"))
-    texts, truth, room = [], [], SAMPLE_BYTES
-    for r in kept.orderBy("__order").toLocalIterator():
-        room -= len(r["__text"].encode())
-        if room < 0:
-            break
-        texts.append(r["__text"])
-        truth.append(r["__label"])
-    return fit(texts, truth)
+    return fit(*_fill(((r["__text"], r["__label"]) for r in kept.orderBy("__order").toLocalIterator()), SAMPLE_BYTES))
+
+
+def _fill(rows: Iterable[tuple[str, int]], room: int) -> tuple[list[str], list[int]]:
+    """Texts and labels that fit ``room`` bytes: each class has half, and what it leaves is the other's."""
+    own, seen, taken, spare, held = {0: room // 2, 1: room // 2}, set(), [], [], 0
+    for text, label in rows:
+        size = len(text.encode())
+        seen.add(label)
+        if size <= own[label]:
+            own[label] -= size
+            taken.append((text, label))
+            continue
+        if held + size > room:
+            spare = [x for x in spare if x[2] <= sum(own.values())]
+            held = sum(x[2] for x in spare)
+        if held + size <= room:
+            held += size
+            spare.append((text, label, size))
+    left = sum(own.values())
+    for text, label, size in spare:
+        if size <= left:
+            left -= size
+            taken.append((text, label))
+    if len(seen) > len({label for _, label in taken}):
+        raise ValueError(f"no labelled text of each class fits the sample's {room} bytes")
+    return [text for text, _ in taken], [label for _, label in taken]
 
 
 class _Values(dict):

@@ -150,6 +150,19 @@ def test_toxicity(spark, docs, no_docs):
     assert {r.score for r in toxicity.score(extra, blank).collect()} == {0.0}
 
 
+def test_toxicity_skips_texts_that_do_not_fit(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 40_000)
+    text = [f"Item {k} about {'a moron' if k % 4 == 0 else 'the garden'} here. Nice day number {k}. All is well." for k in range(400)]
+    long = " ".join(f"long{k}" for k in range(10_000))
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(400)] + [(400 + k, 0) for k in range(40)], "doc_id long, toxic int")
+    train = spark.createDataFrame([*enumerate(text), *((400 + k, f"{long} {k}") for k in range(40))], "doc_id long, text string")
+    model = toxicity.train(train, labels)
+    extra = spark.createDataFrame([(1, "All is well. What a moron you are."), (2, "Nice day.")], "doc_id long, text string")
+    assert {r.doc_id: r.predicted for r in toxicity.score(extra, model).collect()} == {1: 1, 2: 0}
+    with pytest.raises(ValueError):
+        toxicity.train(train, labels.filter("doc_id >= 400 OR toxic = 1"))
+
+
 def _sets(rows):
     h = neardup._Hashes()
     return {i: frozenset(neardup.shingles(t, h).tolist()) for i, t in rows if i is not None}
