@@ -15,17 +15,21 @@ n-grams that its words in order count too.
 
 The index is broadcast in shards of at most ``INDEX_BYTES`` of item text each;
 a larger benchmark takes several passes over the texts, never a larger
-broadcast.  Document frequencies are a shard's own.
+broadcast (an item that is larger by itself is a shard of its own).  Document
+frequencies, the number of pieces and their mean length are counted over the
+whole benchmark, so a score does not depend on how items are dealt to shards.
 
 Null and empty texts, and items of fewer than two words, match nothing.  Items with the same words are
-all reported.  Repeated rows are reported each.
+all reported.  Repeated rows are reported each.  An empty table of either kind
+gives no rows.  Long texts are read whole, passage by passage.  Other columns of
+either table, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
 
 import math
 import string
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlink.llm.batches import slices
+from ledgerlink.staging import stage
 
 PIECE, PASSAGE, STRIDE = 48, 64, 32
 THRESHOLD = 0.4
@@ -41,7 +46,7 @@ GRAM = 5
 QUESTION_SHARE = ANSWER_SHARE = 0.5
 K1, B = 1.2, 0.75
 BLOCK = 16
-INDEX_BYTES = 16_000_000
+INDEX_BYTES = 8_000_000
 MEMORY = 400_000
 _EDGES = string.punctuation + "«»“”„’‘…¿¡–—"
 
@@ -79,33 +84,73 @@ def share(part: list[str], around: list[str], around_grams: set[tuple[str, ...]]
     return max(found, in_order(part, around)) if GRAM <= len(part) < 2 * GRAM and found < 1 else found
 
 
+def pieces_of(words: list[str]) -> list[list[str]]:
+    """Stretches of at most ``PIECE`` words that hold every word; the last one of a longer item overlaps the one before."""
+    begins = [*range(0, max(1, len(words) - PIECE), PIECE), max(0, len(words) - PIECE)]
+    return [words[a : a + PIECE] for a in dict.fromkeys(begins)] if words else []
+
+
+def pairs_of(words: list[str]) -> list[str]:
+    """The terms: neighbouring words, joined by the blank that no word holds."""
+    return [f"{x} {y}" for x, y in zip(words, words[1:], strict=False)]
+
+
+class Statistics:
+    """What BM25 needs of the whole benchmark: pieces that hold a term, the number of pieces and their terms on average."""
+
+    def __init__(self, df: dict[str, int], pieces: int, mean: float):
+        self.df, self.pieces, self.mean = df, pieces, mean
+
+    @classmethod
+    def of(cls, texts: list[str]) -> Statistics:
+        terms = [pairs_of(p) for t in texts for p in pieces_of(words_of(t))]
+        return cls(Counter(t for x in terms for t in set(x)), len(terms), sum(map(len, terms)) / max(1, len(terms)))
+
+
 class Index:
-    def __init__(self, items: list[tuple[object, str]]):
+    """Postings of some items, weighted by the statistics of all: arrays behind each other, a stretch for each term."""
+
+    def __init__(self, items: list[tuple[object, str]], statistics: Statistics | None = None):
+        known = statistics or Statistics.of([t or "" for _, t in items])
         self.items = [(i, words_of(t or "")) for i, t in items]
-        pieces = [(n, w[a : a + PIECE]) for n, (_, w) in enumerate(self.items) for a in range(0, len(w), PIECE) if a == 0 or len(w) - a >= PIECE // 2]
-        self.owner = [n for n, _ in pieces]
-        self.number = {t: k for k, t in enumerate(dict.fromkeys(t for _, w in pieces for t in w))}  # of words
+        self.number = {t: k for k, t in enumerate(dict.fromkeys(t for _, w in self.items for t in w))}  # of words
         self.base = len(self.number) + 1
-        pieces = [(n, [self.number[x] * self.base + self.number[y] for x, y in zip(w, w[1:], strict=False)]) for n, w in pieces]
-        df = Counter(t for _, w in pieces for t in set(w))
-        self.codes = np.array(sorted(df), np.int64)  # of terms
-        term = {c: k for k, c in enumerate(self.codes.tolist())}
-        mean = sum(len(w) for _, w in pieces) / max(1, len(pieces))
-        postings: dict[int, list[tuple[int, float]]] = defaultdict(list)
-        for p, (_, w) in enumerate(pieces):
-            weight = {t: math.log(1 + (len(pieces) - df[t] + 0.5) / (df[t] + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * len(w) / mean)) for t, n in Counter(w).items()}
-            own = sum(weight.values())
-            for t, x in weight.items():
-                postings[term[t]].append((p, x / own))
-        self.postings = {k: ([p for p, _ in v], [x for _, x in v], [max(x for _, x in v[i : i + BLOCK]) for i in range(0, len(v), BLOCK)]) for k, v in postings.items()}
-        self.most = np.zeros(len(df) + 1)  # the last entry is for terms that no item holds
-        for k, (_, _, tops) in self.postings.items():
-            self.most[k] = max(tops)
+        self.owner: list[int] = []
+        code, piece, weight = [], [], []
+        for n, (_, words) in enumerate(self.items):
+            for part in pieces_of(words):
+                counts = Counter(pairs_of(part))
+                norm = K1 * (1 - B + B * (len(part) - 1) / known.mean) if known.mean else K1
+                own = [math.log(1 + (known.pieces - known.df[t] + 0.5) / (known.df[t] + 0.5)) * c * (K1 + 1) / (c + norm) for t, c in counts.items()]
+                code.append(np.array([self.number[x] * self.base + self.number[y] for x, y in (t.split(" ") for t in counts)], np.int64))
+                piece.append(np.full(len(counts), len(self.owner), np.int32))
+                weight.append(np.array(own) / sum(own) if own else np.zeros(0))
+                self.owner.append(n)
+        flat = np.concatenate(code) if code else np.zeros(0, np.int64)
+        order = np.argsort(flat, kind="stable")
+        self.pieces = np.concatenate(piece)[order] if code else np.zeros(0, np.int32)
+        self.weights = np.concatenate(weight)[order] if code else np.zeros(0)
+        self.codes, starts = np.unique(flat[order], return_index=True)  # of terms
+        self.starts = np.append(starts, len(flat))
+        self.most = np.zeros(len(self.codes) + 1)  # the last entry is for terms that no item holds
+        if len(self.codes):
+            self.most[:-1] = np.maximum.reduceat(self.weights, starts)
+        self.lists: dict[int, tuple[list[int], list[float], list[float]]] = {}
         self.parts = []
         for _, w in self.items:
             cut = len(w) - max(3, len(w) // 3)
             self.parts.append((w[: max(cut, 0)] or w, w[max(cut, 0) :]))
 
+    def postings(self, term: int) -> tuple[list[int], list[float], list[float]]:
+        """A term's pieces, weights and greatest weights of blocks; lists of the terms met so far are kept."""
+        if term not in self.lists:
+            if len(self.lists) > MEMORY:
+                self.lists.clear()
+            a, b = self.starts[term], self.starts[term + 1]
+            own = self.weights[a:b].tolist()
+            self.lists[term] = self.pieces[a:b].tolist(), own, [max(own[i : i + BLOCK]) for i in range(0, len(own), BLOCK)]
+        return self.lists[term]
+
     def terms(self, words: np.ndarray) -> np.ndarray:
         """Term numbers of neighbouring words' numbers; the number of terms where no item holds the pair."""
         codes = words[:-1] * self.base + words[1:]
@@ -117,7 +162,7 @@ class Index:
     def search(self, terms: list[int], threshold: float = THRESHOLD) -> list[tuple[int, float]]:
         """All pieces whose score reaches the threshold, by block-max WAND."""
         slack = threshold - 1e-9
-        lists = [(t, *self.postings[t]) for t in terms]
+        lists = [(t, *self.postings(t)) for t in terms]
         at = [0] * len(lists)
         out = []
         while True:
@@ -202,22 +247,48 @@ def leaks(text: str, index: Index, numbers: _Numbers) -> list[tuple[object, int,
     return list(found.values())
 
 
+def _shards(items: DataFrame, index_bytes: int) -> int:
+    """How many shards keep each one's text within ``index_bytes``, as far as single items allow."""
+    n = 1
+    while True:
+        dealt = items.groupBy(_shard(n).alias("shard")).agg(F.sum(F.octet_length("__text") + 16).alias("bytes"), F.count_distinct("__item", "__text").alias("n"))
+        if dealt.filter((F.col("bytes") > index_bytes) & (F.col("n") > 1)).limit(1).count() == 0:
+            return n
+        n *= 2
+
+
+def _shard(n: int):
+    return F.pmod(F.xxhash64("__item", "__text"), F.lit(n)).cast("int")
+
+
+def _piece_terms(batches):
+    """Of rows item, text, shard: a row for each piece with its shard, distinct terms and number of terms."""
+    for batch in slices(batches):
+        found = [(k, pairs_of(p)) for t, k in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True) for p in pieces_of(words_of(t))]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int32()), pa.array([sorted(set(t)) for _, t in found], pa.list_(pa.string())), pa.array([len(t) for _, t in found], pa.int32())], names=["shard", "terms", "n"])
+
+
 def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", index_bytes: int = INDEX_BYTES) -> DataFrame:
     """Pairs ``id_col``, ``item_col`` of texts and items that leak, with place, score and overlaps."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).alias("__item"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("__text"))
-    size = items.agg(F.coalesce(F.sum(F.octet_length("__text") + 16), F.lit(0))).first()[0]
-    shards = max(1, math.ceil(size / (index_bytes * 0.8)))
+    shards = _shards(items, index_bytes)
+    items = items.withColumn("__shard", _shard(shards))
+    pieces = stage(items.mapInArrow(_piece_terms, "shard int, terms array<string>, n int"), "pieces")
+    n_pieces, n_terms = pieces.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    each = pieces.select("shard", F.explode("terms").alias("term"))
+    frequency = stage(each.groupBy("term").agg(F.count("*").alias("df")), "terms")
     plain = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
     d = T.DoubleType()
     schema = T.StructType([plain.schema[0], T.StructField(item_col, items.schema["__item"].dataType), T.StructField("first_word", T.IntegerType()), T.StructField("score", d), T.StructField("question_share", d), T.StructField("answer_share", d)])
     arrow = to_arrow_schema(schema)
 
     def search(shard: int) -> DataFrame:
-        own = items.filter(F.pmod(F.xxhash64("__item", "__text"), F.lit(shards)) == shard)
-        cast = spark.sparkContext.broadcast(Index([(r[0], r[1]) for r in own.orderBy("__item", "__text").collect()]))  # about index_bytes, checked above
+        own = items.filter(F.col("__shard") == shard).select("__item", "__text").orderBy("__item", "__text").collect()  # index_bytes of text, checked above
+        df = frequency.join(each.filter(F.col("shard") == shard).select("term").distinct(), "term", "left_semi").collect()  # the terms of that text
+        cast = spark.sparkContext.broadcast(Index([(r[0], r[1]) for r in own], Statistics(dict(map(tuple, df)), n_pieces, n_terms / max(1, n_pieces))))
 
         def run(batches):
             index = cast.value

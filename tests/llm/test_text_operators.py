@@ -236,7 +236,8 @@ def test_decontamination(spark, docs, no_docs):
     texts = spark.createDataFrame([(1, f"{noise} {item.upper()}! {noise}"), (2, noise), (3, None), (4, item.replace("strange", "odd")), (5, " ".join(item.split()[:9]))], "doc_id long, text string")
     got = sorted((r.doc_id, r.item_id) for r in decontaminate.find(texts, bench).collect())
     assert got == [(1, 1), (1, 2), (4, 1), (4, 2)]
-    assert sorted((r.doc_id, r.item_id) for r in decontaminate.find(texts, bench, index_bytes=60).collect()) == got
+    scores = lambda found: sorted((r.doc_id, r.item_id, round(r.score, 9)) for r in found.collect())
+    assert scores(decontaminate.find(texts, bench, index_bytes=60)) == scores(decontaminate.find(texts, bench))
     assert decontaminate.find(docs, bench).collect() == [] and decontaminate.find(no_docs, bench).collect() == [] and decontaminate.find(texts, bench.limit(0)).collect() == []
 
 
@@ -259,6 +260,47 @@ def test_decontamination_of_near_copies(spark):
     assert sorted(r.doc_id for r in found) == [0, 1, 2, 3, 4]
 
 
+def test_decontamination_of_an_items_tail(spark):
+    words = [f"piece{k}word" for k in range(70)]
+    assert sorted({w for p in decontaminate.pieces_of(words) for w in p}) == sorted(words)
+    assert [len(p) for p in decontaminate.pieces_of(words[:49])] == [48, 48] and decontaminate.pieces_of(words[:48]) == [words[:48]]
+    noise = [f"filler{k}" for k in range(200)]
+    tail, whole = [*noise, *words[20:], *noise], [*noise, *words, *noise]
+    rows = spark.createDataFrame([(1, " ".join(tail)), (2, " ".join(whole)), (3, " ".join([*noise, *words[:46], *noise]))], "doc_id long, text string")
+    found = decontaminate.find(rows, spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")).collect()
+    assert sorted(r.doc_id for r in found) == [1, 2]
+
+
+def _plain_leaks(text, items):
+    """Every item against every place of the text: the shares of its question and answer near a passage that scores enough."""
+    index = decontaminate.Index(items)
+    numbers = decontaminate._Numbers(index.number)
+    raw = [w for w in text.lower().split()]
+    numbered = [(k, numbers[w]) for k, w in enumerate(raw) if numbers[w] >= 0]
+    terms = index.terms(np.array([n for _, n in numbered], np.int64)).tolist() if numbered else []
+    out = set()
+    for begin in range(0, max(1, len(terms) - decontaminate.PASSAGE + decontaminate.STRIDE), decontaminate.STRIDE):
+        window = set(terms[begin : begin + decontaminate.PASSAGE])
+        for piece, n in enumerate(index.owner):
+            score = sum(w for t in window if t < len(index.codes) for p, w in zip(*index.postings(t)[:2], strict=True) if p == piece)
+            if score >= decontaminate.THRESHOLD:
+                item, words = index.items[n]
+                first, last = numbered[begin][0], numbered[min(begin + decontaminate.PASSAGE, len(terms))][0] + 1
+                around = decontaminate.words_of(" ".join(raw[max(0, first - len(words) - decontaminate.PASSAGE) : last + len(words) + decontaminate.PASSAGE]))
+                if all(decontaminate.share(p, around, decontaminate.grams(around)) >= 0.5 for p in index.parts[n]):
+                    out.add(item)
+    return out
+
+
+def test_decontamination_equals_plain_search(spark):
+    items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find(docs, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
+    rows = [(i, t) for i, t in _rows(docs) if len(t) < 20_000]
+    want = {(i, item) for i, t in rows for item in _plain_leaks(t, items)}
+    assert want and {x for x in got if x[0] in {i for i, _ in rows}} == want
+
+
 def test_wand_equals_full_scan(spark):
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
     index = decontaminate.Index(items)
@@ -268,7 +310,7 @@ def test_wand_equals_full_scan(spark):
         terms = [t for t in set(index.terms(words[words >= 0]).tolist()) if t != len(index.codes)]
         full = Counter()
         for t in terms:
-            for p, x in zip(*index.postings[t][:2], strict=True):
+            for p, x in zip(*index.postings(t)[:2], strict=True):
                 full[p] += x
         for least in (0.01, 0.05, 0.4):
             assert {p for p, _ in index.search(terms, least)} == {p for p, x in full.items() if x >= least - 1e-9}
