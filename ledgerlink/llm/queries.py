@@ -74,14 +74,12 @@ def _url_sql() -> str:
     verdict = " ".join(f"WHEN {c} THEN '{v}'" for _, _, v, c in cases)
 
     def like(glob: str) -> str:
-        whole = (glob if "~" in glob else glob + "~*").replace("^", urlfilter.HOST_END).replace("~", urlfilter.PATH_END)
-        parts = whole.replace(".", "[.]")
-        for mark in (urlfilter.HOST_END, urlfilter.PATH_END):
-            parts = parts.replace(mark, f"' || chr({ord(mark)}) || '")
-        inner = f"[^' || chr({ord(urlfilter.HOST_END)}) || chr({ord(urlfilter.PATH_END)}) || ']*"
-        return f"regexp_full_match(canon, '(?s:{parts.replace('*', inner)})')"
-
-    hits = ", ".join(f"CASE WHEN host IS NOT NULL AND {like(g)} THEN '{g}' END" for g in urlfilter.GLOBS)
+        host, rest = glob.split("^")
+        path, query = rest.split("~") if "~" in rest else (rest, "*")
+        fit = lambda c, g: f"regexp_full_match({c}, '(?s:{g.replace('.', '[.]').replace('*', '.*')})')"
+        return f"{fit(chr(39) + '.' + chr(39) + ' || host', host)} AND {fit('path', path)} AND {fit('query', query)}"
+
+    hits = ", ".join(f"CASE WHEN ok AND {like(g)} THEN '{g}' END" for g in urlfilter.GLOBS)
     return f"""
 WITH cut AS (
   SELECT page_id, url, strpos(url, '://') > 0 AS ok, substr(url, strpos(url, '://') + 3) AS rest FROM pages
@@ -91,10 +89,8 @@ WITH cut AS (
     CASE WHEN ok THEN regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path,
     CASE WHEN ok THEN regexp_extract(rest, '^[^?#]*(\\?[^#]*)', 1) ELSE '' END AS query
   FROM cut
-), forms AS (
-  SELECT *, CASE WHEN ok THEN '.' || host || chr(1) || path || chr(2) || query ELSE '' END AS canon FROM parts
 ), judged AS (
-  SELECT page_id, host, path, CASE {rule} END AS rule, CASE {verdict} END AS given, concat_ws(' ', {hits}) AS globs FROM forms
+  SELECT page_id, host, path, CASE {rule} END AS rule, CASE {verdict} END AS given, concat_ws(' ', {hits}) AS globs FROM parts
 )
 SELECT page_id, host, path, rule, coalesce(given, CASE WHEN globs <> '' THEN 'block' ELSE 'allow' END) AS verdict, globs FROM judged
 """

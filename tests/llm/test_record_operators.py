@@ -61,7 +61,7 @@ def test_url_rules(pages):
 
 def test_automaton_equals_regular_expressions():
     patterns = ["*", "a*b", "*ab*", "?b*", "aa", "*a?", "a" * 70 + "*", "*b*a*b"]
-    machine = urlfilter.Automaton(patterns)
+    machine = urlfilter.Automaton([p.encode() for p in patterns])
     texts = ["".join(x) for n in range(5) for x in itertools.product("ab", repeat=n)] + ["a" * 69, "a" * 70, "a" * 90 + "b"]
     fits = machine.match([t.encode() for t in texts])
     for row, t in zip(fits, texts, strict=True):
@@ -69,6 +69,19 @@ def test_automaton_equals_regular_expressions():
             assert hit == bool(re.fullmatch(p.replace("*", ".*").replace("?", "."), t)), (p, t)
 
 
+def test_url_control_characters_and_tables(spark):
+    urls = ["http://com/\x01en/x", "http://com/en/x", "http://c\x02om/en/x", "http://a.com/\x02/en/", "http://x.com/e*n/", "http://x.com/een/", "http://x.com/q?n/"]
+    rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.rule, r.path) for r in urlfilter.judge(rows).collect()}
+    assert [got[k][0] for k in range(4)] == [None, "com/en/", None, None] and got[0][1] == "/\x01en/x"
+    table = spark.createDataFrame([("block", "com", "/e*n/", 1), ("allow", None, "/", 2), ("block", "com", "/e*n/", 3)], "verdict string, host string, path string, page_id int")
+    globs = spark.createDataFrame([("*x.com^*q*~*",)], "glob string")
+    rules, patterns = urlfilter.load(table, globs)
+    assert rules == [("block", "com", "/e*n/")] and patterns == ["*x.com^*q*~*"] and urlfilter.load() == ([], [])
+    assert {r.page_id for r in urlfilter.judge(rows, rules, patterns).filter("verdict = 'block'").collect()} == {4, 6}
+    assert {r.page_id for r in urlfilter.judge(rows, rules, ["*x.com^*q*"]).filter("verdict = 'block'").collect()} == {4, 6}
+
+
 def test_viterbi_is_the_best_path():
     rows = [("user", "hi there?"), (None, "well\nBot: yes"), ("??", "- a\n- b")]
     steps = chat._steps(rows)
