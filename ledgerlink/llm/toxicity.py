@@ -10,10 +10,15 @@ The model is fitted on a bounded sample of labelled documents: per class the
 ``SAMPLE`` rows whose ids hash least.  All documents are scored, whole.
 
 Null and empty texts have no sentence and the score 0.  Labels that are null
-are left out; of a document labelled twice either label may be used, once.
+are left out; of a document labelled twice the larger label is used, once.
 With no labelled row of both classes the score of every text is 0.  Texts that
 do not fit ``SAMPLE_BYTES`` are skipped; if that leaves a class without any, it
-is an error.
+is an error.  Repeated rows are scored each, and copies of a labelled text are
+learnt from once.  An empty table gives no rows.  Long texts are scored whole.
+Other columns, whatever their names, are not looked at.
+
+A document at or over one half names at least one sentence: where many doubtful
+sentences make it up and none reaches ``CUT``, the one that scores most.
 """
 
 from __future__ import annotations
@@ -171,7 +176,7 @@ class _Values(dict):
 
 
 def _scores(text: str, values: _Values, bias: float) -> tuple[float, list[tuple[int, int, float]]]:
-    """The document's score, and the spans and scores of sentences at or over ``CUT``."""
+    """The document's score, and the spans and scores of sentences at or over ``CUT``, or of the highest one."""
     lower = text.lower()
     if len(lower) != len(text):  # a few letters change length; spans must stay those of the text
         lower = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
@@ -181,7 +186,8 @@ def _scores(text: str, values: _Values, bias: float) -> tuple[float, list[tuple[
     z = np.array([sum(map(values.__getitem__, set(_WORD.findall(lower, a, b)))) for a, b in spans]) + bias
     p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     total = float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum()))
-    return total, [(*spans[i], float(p[i])) for i in np.flatnonzero(p >= CUT).tolist()]
+    marked = np.flatnonzero(p >= CUT).tolist() or ([int(p.argmax())] if total >= 0.5 else [])
+    return total, [(*spans[i], float(p[i])) for i in marked]
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
