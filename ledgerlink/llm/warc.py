@@ -13,6 +13,15 @@ others; if all of a payload's ids are null, all its records are responses, as
 are rows that repeat the least id.  Line ends in a URL are percent-encoded; a
 null URL is written as an empty one.
 
+Every archive begins with a warcinfo record, which the index does not list.
+Record ids are made of page ids, so they are unique where these are.  Reading
+compares each record with the index, the record that a revisit names included.
+How many tasks read follows from the bytes that the index selects.
+
+An empty table gives an empty index and no archive; a payload of any length is
+one record, held by one task while it is written or read; other columns, whatever
+their names, are not looked at.
+
 Archives are reached through ``pyarrow.fs`` by URI, so the shared folder may be
 in any store that it knows.  A failed attempt leaves a file that no index names.
 """
@@ -36,6 +45,8 @@ from ledgerlink.staging import new_path, stage
 ARCHIVE_BYTES = 256_000_000
 READ_BYTES = 8_000_000
 GAP_BYTES = 64_000
+#: Compressed bytes for one reading task; where all cores are not yet busy, as little as LEAST_BYTES.
+TASK_BYTES, LEAST_BYTES = 64_000_000, 2_000_000
 LEVEL = 1
 
 
@@ -68,6 +79,13 @@ def record(page_id, url: str, payload: bytes, digest: str, refers_to) -> bytes:
     return zlib.compress(data, LEVEL, 31)
 
 
+def opening(name: str) -> bytes:
+    """The warcinfo record of an archive."""
+    block = b"software: ledgerlink\r\nformat: WARC File Format 1.1\r\n"
+    lines = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Filename: {name}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
+    return zlib.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n", LEVEL, 31)
+
+
 def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     """Headers and payload of one compressed record."""
     raw = zlib.decompress(data, 31)
@@ -115,8 +133,11 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", paylo
                 if sink is None or at >= ARCHIVE_BYTES:
                     if sink is not None:
                         sink.close()
-                    name, at = f"{uuid.uuid4().hex}.warc.gz", 0
+                    name = f"{uuid.uuid4().hex}.warc.gz"
                     sink = where.open_output_stream(f"{base}/{name}", compression=None)
+                    info = opening(name)
+                    sink.write(info)
+                    at = len(info)
                 payload = text.encode("utf-8", "replace")
                 digest = digest32(payload)
                 data = record(i, url, payload, digest, refers_to)
@@ -168,7 +189,8 @@ def read(index: DataFrame, id_col: str = "page_id") -> DataFrame:
                     headers, payload = parse(data[row["offset"] - begin : row["offset"] - begin + row["length"]])
                     kind, digest = headers["WARC-Type"], headers["WARC-Payload-Digest"].removeprefix("sha1:")
                     size = int(headers["WARC-Payload-Length"])
-                    sound = headers["WARC-Record-ID"] == f"<urn:page:{row[id_col]}>" and kind == row["record_type"]
+                    refers = None if row["refers_to"] is None else f"<urn:page:{row['refers_to']}>"
+                    sound = headers["WARC-Record-ID"] == f"<urn:page:{row[id_col]}>" and kind == row["record_type"] and headers.get("WARC-Refers-To") == refers
                     if not sound or kind == "response" and (digest32(payload) != digest or len(payload) != size):
                         raise ValueError(f"{name} at {row['offset']}: the record is not what the index says")
                     done.append((row[id_col], size, digest, kind, row["refers_to"], payload if kind == "response" else None))
@@ -177,5 +199,8 @@ def read(index: DataFrame, id_col: str = "page_id") -> DataFrame:
             source.close()
 
     need = index.select("archive", "offset", "length", id_col, "record_type", "refers_to")
+    total = need.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    cores = index.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, -(-total // TASK_BYTES), min(cores, -(-total // LEAST_BYTES)))
     # ranges of one archive's records lie side by side, and an archive may be read by several tasks
-    return need.repartitionByRange("archive", "offset").sortWithinPartitions("archive", "offset").mapInArrow(run, schema)
+    return need.repartitionByRange(int(tasks), "archive", "offset").sortWithinPartitions("archive", "offset").mapInArrow(run, schema)

@@ -43,6 +43,21 @@ def test_warc_selected_and_empty(spark, pages):
     assert warc.read(warc.write(pages.limit(0))).collect() == []
 
 
+def test_warc_archives_and_tasks(spark, pages, monkeypatch):
+    import gzip
+
+    index = warc.write(pages)
+    where, path = warc._open(index.select("archive").first()[0])
+    whole = gzip.decompress(where.open_input_file(path).read())
+    assert whole.startswith(b"WARC/1.1\r\nWARC-Type: warcinfo") and index.agg({"offset": "min"}).first()[0] > 0
+    wrong = index.selectExpr("*", "if(record_type = 'revisit', refers_to + 1, refers_to) AS other").drop("refers_to").withColumnRenamed("other", "refers_to")
+    with pytest.raises(Exception, match="not what the index says"):
+        warc.read(wrong).collect()
+    assert warc.read(index).rdd.getNumPartitions() == 1
+    monkeypatch.setattr(warc, "LEAST_BYTES", 300)
+    assert warc.read(index).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
 def test_warc_joins_neighbouring_ranges():
     rows = [{"archive": "a", "offset": o, "length": 10} for o in (0, 10, 20, 10**6)] + [{"archive": "b", "offset": 0, "length": 5}]
     assert [len(x) for x in warc._ranges(rows)] == [3, 1, 1]
