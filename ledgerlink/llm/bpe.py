@@ -6,7 +6,8 @@ are joined back to all buckets that hold it, and the documents are reassembled
 by position.  Decoding joins the ids with the table of token bytes.
 
 Null texts count as empty: no ids, no bytes.  Rows that repeat, null ids and
-further columns do no harm; the result has one row for each input row.
+further columns do no harm; the result has one row for each input row, none for
+an empty table.  A very long text is one bucket of its own.
 """
 
 from __future__ import annotations
@@ -88,7 +89,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None, pattern: str | None =
     path, pattern = vocabulary or path, pattern or usual
     ranks = _Shared(spark, read_ranks(path))  # the vocabulary's size is fixed
     buckets = wx.make_buckets(docs, id_col, text_col, lambda text: _splitter(pattern)(text), bucket_chars=bucket_chars)
-    parts = wx.parts_of(docs, parts)
+    parts = wx.parts_of(buckets, "n_words", parts)
 
     def merge(table: pa.Table) -> pa.Table:
         merger = _merger(ranks, pattern)

@@ -29,6 +29,8 @@ from ledgerlink.staging import new_path
 
 #: Characters of text after which a bucket is closed; a longer text has its own.
 BUCKET_CHARS = 4_000_000
+#: Entries (distinct words or pairs of a bucket) that meet in one group on average, and groups at least.
+GROUP, LEAST_GROUPS = 1_000_000, 64
 
 
 def squeeze(a: np.ndarray, level: int = 3) -> bytes:
@@ -80,6 +82,8 @@ def bucket_schema(id_type: T.DataType) -> T.StructType:
             T.StructField("word_lens", T.BinaryType()),
             T.StructField("word_bytes", T.BinaryType()),
             T.StructField("places", T.BinaryType()),
+            T.StructField("n_words", T.LongType()),
+            T.StructField("n_tokens", T.LongType()),
         ]
     )
 
@@ -97,7 +101,7 @@ def _bucket(batches, tokenise, bucket_chars, schema) -> Iterator[pa.RecordBatch]
     def close():
         lens, flat = pack_words([w if isinstance(w, bytes) else w.encode() for w in words])
         stream = np.concatenate(places) if places else np.zeros(0, np.uint32)
-        row = [first + next(made), ids, flags, sizes, lens, flat, squeeze(stream)]
+        row = [first + next(made), ids, flags, sizes, lens, flat, squeeze(stream), len(words), len(stream)]
         return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
 
     for batch in slices(batches):
@@ -139,9 +143,12 @@ def make_buckets(
     return spark.table(name)
 
 
-def parts_of(df: DataFrame, parts: int | None = None) -> int:
-    """Groups to deal the words to: enough that a group's words fit a task."""
-    return parts or max(64, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def parts_of(buckets: DataFrame, column: str, parts: int | None = None) -> int:
+    """Groups to deal a column's sum of entries to: at most about ``GROUP`` entries meet in one, however large the corpus."""
+    if parts:
+        return parts
+    total = buckets.agg(F.coalesce(F.sum(column), F.lit(0))).first()[0]
+    return max(LEAST_GROUPS, -(-total // GROUP))
 
 
 def order_of(hashes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -151,36 +158,32 @@ def order_of(hashes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     return order, part[order]
 
 
-def train_counts(row: dict, n_words: int) -> np.ndarray:
-    """How often each word of a bucket stands in documents without the flag."""
-    places = expand(row["places"], np.uint32)
-    use = np.repeat(~np.array(row["flags"], bool), np.array(row["sizes"], np.int64))
-    return np.bincount(places[use], minlength=n_words).astype(np.uint32)
-
-
 DEALT = T.StructType(
     [T.StructField("part", T.IntegerType()), T.StructField("bucket", T.LongType())]
-    + [T.StructField(c, T.BinaryType()) for c in ("word_lens", "word_bytes", "counts")]
+    + [T.StructField(c, T.BinaryType()) for c in ("word_lens", "word_bytes")]
 )
-_DEALT_ARROW = pa.schema([("part", pa.int32()), ("bucket", pa.int64()), ("word_lens", pa.binary()), ("word_bytes", pa.binary()), ("counts", pa.binary())])
+_DEALT_ARROW = pa.schema([("part", pa.int32()), ("bucket", pa.int64()), ("word_lens", pa.binary()), ("word_bytes", pa.binary())])
+
 
+def cut(part: np.ndarray) -> list[tuple[int, int, int]]:
+    """Of group numbers in ascending order: each group with its stretch."""
+    if not len(part):
+        return []
+    at = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
+    return [(int(part[a]), a, b) for a, b in zip(at, [*at[1:], len(part)], strict=True)]
 
-def deal(buckets: DataFrame, parts: int, counted: bool = False) -> DataFrame:
-    """A row for each bucket and group: the words, and their training counts if asked for."""
+
+def deal(buckets: DataFrame, parts: int) -> DataFrame:
+    """A row for each bucket and group: the words."""
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 words = unpack_words(row["word_lens"], row["word_bytes"])
                 order, part = order_of(word_hashes(words), parts)
-                counts = train_counts(row, len(words))[order] if counted else None
-                cuts = np.flatnonzero(np.diff(part, prepend=-1, append=parts + 1)).tolist()
-                for a, b in zip(cuts, cuts[1:], strict=False):
-                    lens, flat = pack_words([words[i] for i in order[a:b].tolist()])
-                    packed = squeeze(counts[a:b]) if counted else None
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([v], f.type) for v, f in zip((int(part[a]), row["bucket"], lens, flat, packed), _DEALT_ARROW, strict=True)], schema=_DEALT_ARROW
-                    )
-
-    need = ["bucket", "flags", "sizes", "word_lens", "word_bytes", "places"] if counted else ["bucket", "word_lens", "word_bytes"]
-    return buckets.select(need).mapInArrow(run, DEALT)
+                cuts = cut(part)
+                packed = [pack_words([words[i] for i in order[a:b].tolist()]) for _, a, b in cuts]
+                columns = [[k for k, _, _ in cuts], [row["bucket"]] * len(cuts), *([x[j] for x in packed] for j in range(2))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _DEALT_ARROW, strict=True)], schema=_DEALT_ARROW)
+
+    return buckets.select("bucket", "word_lens", "word_bytes").mapInArrow(run, DEALT)

@@ -57,38 +57,78 @@ def _tokens(t):
     return [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in re.findall(r"[^\x20\x09-\x0D]+", t)] + ["\n"]
 
 
-def test_lm_base_score(docs, no_docs):
+def _plain_model(rows, out):
+    """The model's counts and its probability of a word after another, in plain Python; the filter is taken to make no mistakes."""
+    train = [_tokens(t) for i, t in rows if not out(i)]
+    c, pairs = Counter(w for t in train for w in t), Counter(x for t in train for x in zip(["\n", *t], t, strict=False))
+    n, v = sum(c.values()), len(c)
+    q = {x: 2 ** math.floor(math.log2(k)) for x, k in pairs.items()}
+    total, kinds = Counter(), Counter()
+    for (h, _), k in q.items():
+        total[h] += k
+        kinds[h] += 1
+
+    def chance(h, w):
+        plain = (c[w] + 0.5) / (n + 0.5 * (v + 1))
+        return (max(q.get((h, w), 0) - lm.DISCOUNT, 0) + lm.DISCOUNT * kinds[h] * plain) / total[h] if total[h] else plain
+
+    return c, n, v, chance
+
+
+def test_lm_equals_plain_python(docs, no_docs):
     held = F.crc32(F.col("doc_id").cast("string")) % 5 == 1
     rows = _rows(docs)
     out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
-    c = Counter(w for i, t in rows if not out(i) for w in _tokens(t))
-    n, v = sum(c.values()), len(c)
-    want = sorted(((i, out(i), len(_tokens(t)), sum(w in c for w in _tokens(t)), n, round(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in _tokens(t)), 4)) for i, t in rows), key=str)
+    c, n, v, chance = _plain_model(rows, out)
+
+    def whole(t):
+        w = _tokens(t)
+        return sum(math.log10(chance(h, x)) for h, x in zip(["\n", *w], w, strict=False))
+
+    want = sorted(((i, out(i), len(_tokens(t)), sum(w in c for w in _tokens(t)), n, round(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in _tokens(t)), 4), round(whole(t), 1)) for i, t in rows), key=str)
     got = lm.score(docs, held, bucket_chars=3000, parts=7).collect()
-    assert sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got), key=str) == want
-    assert all(r.score <= 0 for r in got)
-    again = lm.score(docs, held, bucket_chars=3000, parts=7, round_bytes=64).collect()
-    assert np.allclose(sorted(r.score for r in got), sorted(r.score for r in again))
+    assert sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4), round(r.score, 1)) for r in got), key=str) == want
+    dealt = lm.score(docs, held, bucket_chars=3000, parts=7, broadcast_bytes=0).collect()
+    assert sorted(got, key=str) == sorted(dealt, key=str)
+    other = lm.score(docs, held).collect()
+    assert np.allclose(sorted(r.base_score for r in got), sorted(r.base_score for r in other)) and np.allclose(sorted(r.score for r in got), sorted(r.score for r in other), rtol=1e-3)
     assert lm.score(no_docs, held).collect() == []
+    assert {(r.score, r.train_tokens) for r in lm.score(docs.filter("doc_id = 4"), F.lit(True)).collect()} == {(0.0, 0)}
 
 
 def test_lm_filter_reads_back_counts():
     rng = np.random.default_rng(1)
-    hashes = rng.integers(0, 2**63, 4000).astype(np.uint64)
-    counts = rng.integers(1, 200, 4000)
-    bloom = lm.Filter(0, [lm.segment(hashes, counts)], 1)
-    got = bloom.counts(hashes)
-    want = np.where(counts > 1, 2.0 ** np.floor(np.log2(counts)), 0)
-    assert (got >= want).all() and (got == want).mean() > 0.98
-    assert (bloom.counts(rng.integers(0, 2**63, 4000).astype(np.uint64)) > 0).mean() < 0.02
-
-
-def test_lm_filter_holds_pairs_seen_once():
-    rng = np.random.default_rng(2)
-    hashes = rng.integers(0, 2**63, 4000).astype(np.uint64)
-    counts = np.where(np.arange(4000) % 4 == 0, rng.integers(2, 200, 4000), 1)
-    got = lm.Filter(0, [lm.segment(hashes, counts)], 1).counts(hashes)
-    assert (got >= 1).all() and (got == 2.0 ** np.floor(np.log2(counts))).mean() > 0.98
+    keys = np.unique(rng.integers(0, 2**48, 8000).astype(np.uint64))
+    put, absent = keys[::2], keys[1::2]
+    counts = np.where(np.arange(len(put)) % 4 == 0, rng.integers(2, 200, len(put)), 1)
+    blob = lm.segment(put, counts)
+    got = lm.Filter({0: blob}, 1).levels(put)
+    want = 1 + np.floor(np.log2(counts))
+    assert (got >= want).all() and (got == want).mean() > 0.999
+    assert (lm.Filter({0: blob}, 1).levels(absent) > 0).mean() < 0.002 and 0 < lm.mistakes(blob) < 1e-4
+    halves = [put[put % np.uint64(2) == k] for k in range(2)]
+    both = lm.Filter({k: lm.segment(h, np.full(len(h), 5)) for k, h in enumerate(halves)}, 2)
+    assert (both.levels(put) == 3).mean() > 0.999 and len(lm.segment(put[:0], counts[:0])) == 0
+
+
+def test_lm_chances_of_all_words_sum_to_one_at_most():
+    rng = np.random.default_rng(3)
+    words, seen, n, v = 3000, 40, 50_000, 3000
+    counts = rng.multinomial(n, rng.dirichlet(np.ones(words)))
+    plain = (counts + 0.5) / (n + 0.5 * (v + 1))
+    hashes = rng.integers(0, 2**63, words).astype(np.uint64)
+    sums = []
+    for h in range(seen):
+        after = rng.choice(words, 1 + h, replace=False)
+        times = rng.integers(1, 20, len(after))
+        keys = lm.pair_key(np.full(words, hashes[h]), hashes)
+        blob = lm.segment(keys[after], times)
+        level = lm.Filter({0: blob}, 1).levels(keys)
+        q = np.ldexp(1.0, lm.quantise(times) - 1)
+        p = lm.chances(level, plain, np.full(words, q.sum()), np.full(words, len(after)), v * lm.mistakes(blob))
+        assert (p > 0).all()
+        sums.append(p.sum())
+    assert np.mean(sums) <= 1 + 1e-3 and max(sums) < 1.05 and min(sums) > 0.9
 
 
 def test_lm_tells_a_pair_seen_once_from_an_unseen_one(spark):
