@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 NAMES = ["ratio", "partial", "token_sort", "token_set", "jaro_winkler"]
-SCORES = T.StructType([T.StructField(c, T.DoubleType()) for c in NAMES])
 
 
 def common_length(a: str, b: str) -> int:
@@ -33,10 +32,16 @@ def ratio(a: str, b: str) -> float:
 
 
 def partial(a: str, b: str) -> float:
-    """Best ratio of the shorter string with a window of the longer one, windows at its ends included."""
+    """Best ratio of the shorter string with a window of the longer one, windows at its ends included; of equal lengths either may be cut."""
     short, long = sorted((a, b), key=len)
     if not short:
         return 0.0
+    if len(a) == len(b) and a != b:
+        return max(_windows(a, b), _windows(b, a))
+    return _windows(short, long)
+
+
+def _windows(short: str, long: str) -> float:
     n = len(short)
     spans = {(max(0, k), min(len(long), k + n)) for k in range(1 - n, len(long))}
     return max(ratio(short, long[x:y]) for x, y in spans)
@@ -81,20 +86,40 @@ def jaro_winkler(a: str, b: str, weight: float = 0.1) -> float:
     return jaro + prefix * weight * (1 - jaro)
 
 
-@F.pandas_udf(SCORES)
-def _scores(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    known: dict[tuple[str, str], tuple] = {}
-    out = []
-    for pair in zip(a.fillna(""), b.fillna(""), strict=True):
-        if pair not in known:
-            known[pair] = tuple(f(*pair) for f in (ratio, partial, token_sort, token_set, jaro_winkler))
-        out.append(known[pair])
-    return pd.DataFrame(out, columns=NAMES)
+SCORERS = {"ratio": ratio, "partial": partial, "token_sort": token_sort, "token_set": token_set, "jaro_winkler": jaro_winkler}
+
+
+def table(wanted: dict[str, tuple[str, Column, Column]]) -> Column:
+    """A struct of scores, name: (kind, a, b), from one pass through Python, each distinct pair of texts scored once a batch."""
+    sides = [c for _, a, b in wanted.values() for c in (a, b)]
+    kinds = [k for k, _, _ in wanted.values()]
+    names = list(wanted)
+
+    @F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in names]))
+    def run(*columns: pd.Series) -> pd.DataFrame:
+        known: dict[tuple[str, str, str], float] = {}
+        out = {}
+        for n, kind, a, b in zip(names, kinds, columns[::2], columns[1::2], strict=True):
+            scorer, got = SCORERS[kind], []
+            for x, y in zip(a.fillna(""), b.fillna(""), strict=True):
+                key = (kind, x, y)
+                if key not in known:
+                    known[key] = scorer(x, y)
+                got.append(known[key])
+            out[n] = got
+        return pd.DataFrame(out)
+
+    return run(*sides)
 
 
 def scores(a: Column, b: Column) -> Column:
-    """A struct of all scores, from one pass through Python."""
-    return _scores(a, b)
+    """A struct of all scores."""
+    return table({n: (n, a, b) for n in NAMES})
+
+
+def score(kind: str, a: Column, b: Column) -> Column:
+    """One score."""
+    return table({kind: (kind, a, b)})[kind]
 
 
 DIFFERENCE = T.StructType([T.StructField(c, T.ArrayType(T.StringType())) for c in ("missing", "extra")])

@@ -108,3 +108,23 @@ NUMBER_SUFFIXES = "bis ter quater b a c d t".split()
 ORDINAL_WORDS = "eme er e st nd rd th etage floor".split()
 # Words without an initial.
 INITIAL_STOP = "du de des la le les d l and of the et en a pour sur aux au".split()
+# Address words that are no tokens.
+ADDR_STOP = [
+    "st", "ave", "rd", "blvd", "ln", "dr", "ct", "pl", "cir", "hwy", "pkwy", "trl", "ter", "sq", "n", "s", "e", "w", "ne", "nw", "se", "sw", "apt", "ste", "fl", "bldg", "rte",
+    "no", "near", "opp", "behind", "and", "of", "the", "rue", "avenue", "boulevard", "allee", "chemin", "place", "impasse", "route", "de", "du", "des", "la", "le", "les", "l", "d",
+    "et", "bis", "floor", "road", "street", "lane", "nagar", "colony", "sec", "ph", "po", "dist", "tal",
+]
+# Street words that are no part of an address signature.
+SIGNATURE_STOP = [
+    "st", "ave", "rd", "blvd", "ln", "dr", "ct", "pl", "rue", "avenue", "boulevard", "allee", "chemin", "place", "route", "de", "du", "des", "la", "le", "les", "l", "d", "n", "s",
+    "e", "w", "bis",
+]
+# Words that make no extension key.
+GENERIC = [
+    "st", "street", "rd", "road", "ave", "avenue", "dr", "drive", "ln", "lane", "ct", "court", "blvd", "way", "pl", "place", "rue", "de", "du", "des", "la", "le", "les", "nagar",
+    "main", "cross", "floor", "no", "the", "and", "of", "n", "s", "e", "w", "sector", "block", "colony", "phase", "city", "road", "marg", "gali", "near", "opp", "behind", "allee",
+    "chemin", "boulevard", "impasse", "route", "square", "quai", "cours", "bis", "ter",
+]
+# Patterns of address codes, and of neighbouring address words.
+ADDRESS_CODE = r"\b(?:[a-z]{1,3}\s?-\s?)?\d+[a-z]?(?:\s?[-/]\s?[a-z0-9]+)+|\b[a-z]{1,3}\s?-\s?\d+[a-z]?\b|\b[a-z]{1,3}\d+[a-z0-9]*\b|\b\d+[a-z]{1,2}\b"
+ADDRESS_BIGRAM = r"(?:^|\s)[a-z]{3,} [a-z]{3,}(?:\s|$)"

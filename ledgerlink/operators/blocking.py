@@ -10,6 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlink.functions.tables import ADDR_STOP
+from ledgerlink.staging import stage
+
+#: Tokens in more records than that are dropped.
+MAX_DF = 3000
 #: Token types and their weights.
 TOKEN_WEIGHTS = {"w": 1.0, "k": 0.5, "nk": 2.0, "nc": 2.0, "nb": 1.2, "g": 0.35, "wl": 1.5, "a": 0.6, "h": 0.4, "hs": 1.5, "hk": 1.0}
 NAME_TYPES = ["w", "k", "nk", "nc", "nb", "g"]
@@ -30,24 +35,27 @@ def record_tokens(records: DataFrame, side: str = "pool", id_col: str = "rid", g
     records: id, country, name_core, name_key, name_skel, addr_norm, addr_street,
     addr_localities, addr_house_no.  The pool gives n-grams for one-word names only.
     """
-    core = F.filter(F.array_distinct(_words(F.col("name_core"))), lambda x: (F.char_length(x) >= 2) & x.rlike("[a-z]"))
+    worded = lambda a: F.filter(a, lambda x: (F.char_length(x) >= 2) & x.rlike("[a-z]"))
+    parts = lambda c: _words(F.regexp_replace(c, r"\s*\|\s*", " "))
+    ordered = worded(parts("name_core"))
+    core = F.array_distinct(ordered)
     joined = F.regexp_replace("name_core", " ", "")
     local = F.slice(F.filter(F.split(F.coalesce("addr_localities", F.lit("")), r" \| "), lambda x: x != ""), 1, 2)
-    stop = F.array(*[F.lit(x) for x in address_stop or []]).cast("array<string>")
-    address = F.array_except(_words(F.col("addr_norm")), stop)
-    street = F.filter(F.array_except(_words(F.regexp_replace("addr_street", r"\|", " ")), stop), lambda x: x.rlike("^[a-z]{2,}$"))
+    stop = F.array(*[F.lit(x) for x in (ADDR_STOP if address_stop is None else address_stop)]).cast("array<string>")
+    address = F.array_except(worded(parts("addr_norm")), stop)
+    street = F.array_except(worded(parts("addr_street")), stop)
     house = F.coalesce("addr_house_no", F.lit(""))
-    first = F.slice(_words(F.col("name_core")), 1, 5)
-    pairs = F.flatten(F.transform(first, lambda x, i: F.transform(F.filter(first, lambda y: y > x), lambda y: F.concat(x, F.lit("|"), y))))
+    first = F.slice(ordered, 1, 5)
+    pairs = F.flatten(F.transform(first, lambda x: F.transform(F.filter(first, lambda y: y > x), lambda y: F.concat(x, F.lit("|"), y))))
     grams = F.filter(F.transform(F.sequence(F.lit(1), F.lit(40)), lambda i: F.substr(joined, i, F.lit(gram))), lambda g: F.char_length(g) == gram)
     long_enough = F.char_length(joined) >= min_concat
-    wants = long_enough if side == "query" else long_enough & (F.size(_words(F.col("name_core"))) == 1)
+    wants = long_enough if side == "query" else long_enough & (F.size(ordered) == 1)
     with_house = lambda a: F.when(house != "", F.transform(a, lambda x: F.concat(house, F.lit("|"), x))).otherwise(F.array().cast("array<string>"))
     none = F.array().cast("array<string>")
     one = lambda c: F.when(F.coalesce(c, F.lit("")) != "", F.array(c)).otherwise(none)
     values = {
         "w": core,
-        "k": F.filter(F.array_distinct(_words(F.col("name_skel"))), lambda x: F.char_length(x) >= 3),
+        "k": F.filter(F.array_distinct(parts("name_skel")), lambda x: F.char_length(x) >= 3),
         "nk": one(F.col("name_key")),
         "nc": one(joined),
         "nb": pairs,
@@ -58,14 +66,18 @@ def record_tokens(records: DataFrame, side: str = "pool", id_col: str = "rid", g
         "hs": with_house(street),
         "hk": with_house(F.transform(street, light_skeleton)),
     }
-    typed = F.concat(*(F.transform(v, lambda x, t=t: F.struct(F.lit(t).alias("typ"), x.alias("tok"))) for t, v in values.items()))
+    marked = lambda t: lambda x: F.struct(F.lit(t).alias("typ"), x.alias("tok"))  # noqa: E731  # a second parameter would be the place
+    typed = F.concat(*(F.transform(v, marked(t)) for t, v in values.items()))
     return records.select(F.col(id_col).alias("rid"), "country", F.explode(F.array_distinct(typed)).alias("t")).select("rid", "country", "t.typ", "t.tok")
 
 
-def token_weights(tokens: DataFrame, by: list[str], max_df: int, weights: dict[str, float] | None = None) -> DataFrame:
-    """idf weight type_weight * ln((n + 1) / df) of tokens in at most ``max_df`` records; n counts records per ``by``."""
+def token_weights(tokens: DataFrame, by: list[str], max_df: int, weights: dict[str, float] | None = None, sizes: DataFrame | None = None) -> DataFrame:
+    """idf weight type_weight * ln((n + 1) / df) of tokens in at most ``max_df`` records.
+
+    n: records per ``by``, of ``sizes`` (columns of ``by`` and n) or else counted from the tokens.
+    """
     keys = [*by, *(["typ"] if "typ" in tokens.columns else []), "tok"]
-    n = tokens.groupBy(*by).agg(F.count_distinct("rid").alias("n"))
+    n = tokens.select(*by, "rid").distinct().groupBy(*by).agg(F.count("*").alias("n")) if sizes is None else sizes.select(*by, "n")
     df = tokens.groupBy(*keys).agg(F.count("*").alias("df")).filter(F.col("df") <= max_df)
     factor = F.lit(1.0)
     if weights and "typ" in keys:
@@ -73,10 +85,13 @@ def token_weights(tokens: DataFrame, by: list[str], max_df: int, weights: dict[s
     return df.join(n, by).select(*keys, (factor * F.log((F.col("n") + 1.0) / F.col("df"))).alias("wt"))
 
 
-def score_pairs(queries: DataFrame, pool: DataFrame, by: list[str], max_df: int, weights: dict[str, float] | None = None) -> DataFrame:
-    """Sum of shared tokens' weights for each (query, pool) pair; with typed tokens also the name's and the address's."""
+def score_pairs(queries: DataFrame, pool: DataFrame, by: list[str], max_df: int, weights: dict[str, float] | None = None, sizes: DataFrame | None = None) -> DataFrame:
+    """Sum of shared tokens' weights for each (query, pool) pair; with typed tokens also the name's and the address's.
+
+    Both sides' tokens are read several times: pass staged tables.
+    """
     keys = [*by, *(["typ"] if "typ" in pool.columns else []), "tok"]
-    index = pool.join(token_weights(pool, by, max_df, weights), keys)
+    index = pool.join(token_weights(pool, by, max_df, weights, sizes), keys)
     joined = queries.withColumnRenamed("rid", "qid").join(index, keys)
     sums = [F.sum("wt").alias("score")]
     if "typ" in keys:
@@ -85,30 +100,77 @@ def score_pairs(queries: DataFrame, pool: DataFrame, by: list[str], max_df: int,
     return joined.groupBy(*by, "qid", "rid").agg(*sums)
 
 
+def _typed_scores(asked: DataFrame, pool: DataFrame, max_df: int, pool_side: str) -> DataFrame:
+    """Scores of typed tokens of ``asked`` against the index of ``pool``, both sides' tokens staged; scores to six places."""
+    queries, index = stage(record_tokens(asked, "query"), "tokens"), stage(record_tokens(pool, pool_side), "tokens")
+    sizes = pool.groupBy("country").agg(F.count("*").alias("n"))
+    found = score_pairs(queries, index, ["country"], max_df, TOKEN_WEIGHTS, sizes)
+    return found.select("country", "qid", "rid", *(F.round(c, 6).alias(c) for c in ("score", "name_score", "addr_score")))
+
+
+def generate(entities: DataFrame, records: DataFrame, max_df: int = MAX_DF, k: int = 20, k_name: int = 10, k_addr: int = 10) -> DataFrame:
+    """Candidates (s1, m, src, country, three scores, three ranks): for each s1 and source the best by total, name or address.
+
+    entities: rid and normalised columns; records: the same with src.  A record is
+    (rid, src); ties go to the least rid.
+    """
+    pool = records.withColumn("__rid", F.col("rid")).withColumn("rid", F.struct("rid", "src"))
+    found = stage(_typed_scores(entities, pool, max_df, "pool"), "scores").select(F.col("qid").alias("s1"), F.col("rid.rid").alias("m"), F.col("rid.src").alias("src"), "country", "score", "name_score", "addr_score")
+    rank = lambda c: F.row_number().over(Window.partitionBy("s1", "src").orderBy(F.desc(c), "m"))
+    ranked = found.select("*", rank("score").alias("rank"), rank("name_score").alias("rank_name"), rank("addr_score").alias("rank_addr"))
+    return ranked.filter((F.col("rank") <= k) | (F.col("rank_name") <= k_name) | (F.col("rank_addr") <= k_addr))
+
+
+def generate_reverse(entities: DataFrame, records: DataFrame, only: DataFrame | None = None, max_df: int = 300, k: int = 3, k_name: int = 1, k_addr: int = 1, k_empty: int = 10) -> DataFrame:
+    """Candidates from the records' side: the best s1 of each record, more for records without an address.
+
+    Ranks and best scores count every s1; ``only`` (s1) limits what is returned.
+    entities and records as in ``generate``, records with addr_empty.
+    """
+    asked = records.withColumn("rid", F.struct("rid", "src"))
+    found = _typed_scores(asked, entities, max_df, "query").select(F.col("qid.rid").alias("m"), F.col("qid.src").alias("src"), F.col("rid").alias("s1"), "score", "name_score", "addr_score")
+    bare = records.select(F.col("rid").alias("m"), "src", "addr_empty")
+    best = reverse_top_k(found.join(bare, ["m", "src"]), ["m", "src"], k, k_empty, F.col("addr_empty"), "s1", k_name, k_addr)
+    out = best.select("s1", "m", "src", *(F.col(c).alias(f"r_{c}") for c in ("score", "name_score", "addr_score")), "r_rank", "r_rank_name", "r_rank_addr", "r_best1", "r_best2", "r_name_best", "r_addr_best")
+    return out if only is None else out.join(only.select("s1").distinct(), "s1", "left_semi")
+
+
 def top_k(pairs: DataFrame, group: list[str], score: str, k: int, tie: str, rank: str = "rank") -> DataFrame:
     w = Window.partitionBy(*group).orderBy(F.desc(score), tie)
     return pairs.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
 
 
-def top_k_union(pairs: DataFrame, group: list[str], limits: dict[str, int], tie: str) -> DataFrame:
-    """Rows among the best by any of several scores.
+def top_k_union(pairs: DataFrame, group: list[str], limits: dict[str, int], tie: str, key: list[str] | None = None) -> DataFrame:
+    """Rows among the best by any of several scores, one for each ``key`` (all columns, if not given).
 
     Each score has a branch of its own, as a rank limit is pushed below the
-    window only where it is the one condition.
+    window only where it is the one condition; the rows are staged once for all.
     """
-    branches = [top_k(pairs, group, score, k, tie).drop("rank") for score, k in limits.items()]
+    rows = stage(pairs, "pairs")
+    branches = [top_k(rows, group, score, k, tie).drop("rank") for score, k in limits.items()]
     out = branches[0]
     for more in branches[1:]:
         out = out.unionByName(more)
-    return out.distinct()
+    return out.dropDuplicates(key or rows.columns)
+
 
+def reverse_top_k(pairs: DataFrame, group: list[str], k: int, k_empty: int, empty: Column, tie: str, k_name: int = 0, k_addr: int = 0) -> DataFrame:
+    """The k best for each record, k_empty where its address is empty, k_name and k_addr by name and address scores.
 
-def reverse_top_k(pairs: DataFrame, group: list[str], k: int, k_empty: int, empty: Column, tie: str) -> DataFrame:
-    """k for each record, k_empty where its address is empty, with the record's first and second score."""
-    w = Window.partitionBy(*group).orderBy(F.desc("score"), tie)
-    ranked = pairs.select("*", F.row_number().over(w).alias("r_rank"))
-    best = ranked.select("*", F.max(F.when(F.col("r_rank") == 1, F.col("score"))).over(Window.partitionBy(*group)).alias("r_best1"), F.max(F.when(F.col("r_rank") == 2, F.col("score"))).over(Window.partitionBy(*group)).alias("r_best2"))
-    return best.filter((F.col("r_rank") <= k) | (empty & (F.col("r_rank") <= k_empty)))
+    Beside each its ranks and the record's first and second score (0 where there
+    is one) and, if given, the best name and address score, over all its pairs.
+    """
+    kinds = [x for x in ("name", "addr") if f"{x}_score" in pairs.columns]
+    by = lambda c: F.row_number().over(Window.partitionBy(*group).orderBy(F.desc(c), tie))
+    whole = Window.partitionBy(*group)
+    ranked = pairs.select("*", by("score").alias("r_rank"), *(by(f"{x}_score").alias(f"r_rank_{x}") for x in kinds))
+    at = lambda n: F.max(F.when(F.col("r_rank") == n, F.col("score"))).over(whole)
+    best = ranked.select("*", at(1).alias("r_best1"), F.coalesce(at(2), F.lit(0.0)).alias("r_best2"), *(F.max(f"{x}_score").over(whole).alias(f"r_{x}_best") for x in kinds))
+    keep = (F.col("r_rank") <= k) | (empty & (F.col("r_rank") <= k_empty))
+    for x, limit in (("name", k_name), ("addr", k_addr)):
+        if x in kinds:
+            keep |= F.col(f"r_rank_{x}") <= limit
+    return best.filter(keep)
 
 
 def rare_keys(queries: DataFrame, pool: DataFrame, known: DataFrame, max_df: int, k: int) -> DataFrame:
@@ -123,22 +185,6 @@ def rare_keys(queries: DataFrame, pool: DataFrame, known: DataFrame, max_df: int
     return top_k(fresh, ["s1", "src"], "xk", k, "m").drop("rank")
 
 
-def extension_keys(records: DataFrame, id_cols: list[str]) -> DataFrame:
-    """Composite keys of a record; columns house, street (words), name (words), name_key, state, localities (words), address (words)."""
-    cat = lambda t, a, b: F.concat(F.lit(f"{t}|"), a, F.lit("|"), b)
-    none = F.array().cast("array<string>")
-    house = F.coalesce("house", F.lit(""))
-    each = {
-        "A": F.when(house != "", F.transform("street", lambda s: cat("A", house, s))).otherwise(none),
-        "D": F.flatten(F.transform("name", lambda n: F.transform("street", lambda s: cat("D", n, s)))),
-        "E": F.when(house != "", F.transform("name", lambda n: cat("E", house, n))).otherwise(none),
-        "N": F.when(F.char_length("name_key") >= 4, F.array(cat("N", F.col("name_key"), F.coalesce("state", F.lit(""))))).otherwise(none),
-        "H": F.when(house != "", F.transform("localities", lambda c: cat("H", house, c))).otherwise(none),
-        "B": F.transform(F.slice("address", 2, F.greatest(F.size("address") - 1, F.lit(0))), lambda y, i: cat("B", F.get("address", i), y)),
-    }
-    return records.select(*id_cols, F.explode(F.array_distinct(F.concat(*each.values()))).alias("key"))
-
-
 def exact_rule(left: DataFrame, right: DataFrame, on: list[str], residual: Column | None = None) -> DataFrame:
     """Equal keys, and records claimed by one s1 only.  left: s1; right: m, src."""
     pairs = left.join(right, on)
@@ -152,34 +198,50 @@ def dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
+#: Vectors in a tile of the pool and of the queries: a tile's product fits a task whatever the block's size.
+TILE_POOL, TILE_QUERIES = 2048, 1024
+
+
 def knn(queries: DataFrame, pool: DataFrame, block: str, k: int, vector: str = "embedding") -> DataFrame:
     """The k nearest of ``pool`` to each query within a block, by inner product (ties: least id).
 
-    queries: qid; pool: pid.  Blocks of the pool are cut into slices of 512 for
-    the matrix product and the slices' best are ranked again, so a large block is
-    spread over tasks by its queries and its slices.
+    queries: qid; pool: pid.  Both sides of a block are cut into tiles, as many as
+    their counts ask for; each pair of tiles is one matrix product, its best are
+    ranked again.
     """
     import numpy as np
     import pyarrow as pa
 
-    side = lambda df, i: df.select(F.col(i).alias("id"), F.col(block).alias("block"), F.col(vector).alias("v"))
-    sized = side(pool, "pid")
-    n = sized.groupBy("block").agg(F.ceil(F.count("*") / 512).cast("int").alias("slices"))
-    cut = sized.join(n, "block").withColumn("slice", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int")).drop("slices")
-    asked = side(queries, "qid").join(n, "block").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
-    asked = asked.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(8)).cast("int"))
-    dealt = cut.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    def tiled(df: DataFrame, i: str, size: int, name: str) -> tuple[DataFrame, DataFrame]:
+        own = df.select(F.col(i).alias("id"), F.col(block).alias("block"), F.col(vector).alias("v"))
+        n = own.groupBy("block").agg(F.ceil(F.count("*") / size).cast("int").alias(f"n_{name}"))
+        return own.join(n, "block").withColumn(name, F.pmod(F.xxhash64("id"), F.col(f"n_{name}")).cast("int")).drop(f"n_{name}"), n
+
+    (asked, n_asked), (held, n_held) = tiled(queries, "qid", TILE_QUERIES, "part"), tiled(pool, "pid", TILE_POOL, "slice")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked = asked.join(n_held, "block").withColumn("slice", every("n_slice")).drop("n_slice")
+    dealt = held.join(n_asked, "block").withColumn("part", every("n_part")).drop("n_part")
     kind = queries.schema[block].dataType.simpleString()
 
+    def matrix(t: pa.Table) -> np.ndarray:
+        v = t["v"].combine_chunks()
+        return v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(t), -1)
+
     def best(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["block", "qid", "pid", "c"]
+        fields = [("block", left.schema.field("block").type), ("qid", pa.int64()), ("pid", pa.int64()), ("c", pa.float64())]
         if not len(left) or not len(right):
-            return pa.table({"block": pa.array([], left.schema.field("block").type), "qid": pa.array([], pa.int64()), "pid": pa.array([], pa.int64()), "c": pa.array([], pa.float64())})
-        a, b = (np.array(t["v"].to_pylist(), np.float64) for t in (left, right))
+            return pa.schema(fields).empty_table()
         qid, pid = left["id"].to_numpy(), right["id"].to_numpy()
-        c = np.round(a @ b.T, 6)
-        rows = [(left["block"][0].as_py(), int(q), int(pid[j]), float(c[i, j])) for i, q in enumerate(qid) for j in np.lexsort((pid, -c[i]))[:k]]
-        return pa.table({n: pa.array(x, t) for n, x, t in zip(names, zip(*rows, strict=True), (left.schema.field("block").type, pa.int64(), pa.int64(), pa.float64()), strict=True)})
+        by_id = np.argsort(pid, kind="stable")
+        c = np.round(matrix(left) @ matrix(right)[by_id].T, 6)
+        n = min(k, len(pid))
+        least = -np.partition(-c, n - 1, axis=1)[:, n - 1]
+        rows, cols = np.nonzero(c >= least[:, None])  # ties included; the ranking below decides
+        order = np.lexsort((cols, -c[rows, cols], rows))
+        rows, cols = rows[order], cols[order]
+        place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        rows, cols = rows[place < n], cols[place < n]
+        return pa.table([pa.array([left["block"][0].as_py()] * len(rows), fields[0][1]), pa.array(qid[rows]), pa.array(pid[by_id][cols]), pa.array(c[rows, cols])], schema=pa.schema(fields))
 
     keys = ["block", "slice", "part"]
     found = asked.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInArrow(best, f"block {kind}, qid long, pid long, c double")

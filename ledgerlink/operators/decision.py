@@ -24,9 +24,10 @@ def expected_f(pairs: DataFrame, floor: float = 0.0, power: float = 1.0, beta: f
     """Per s1 the shortest prefix, best first, of greatest expected F; none if an empty set expects more.
 
     ``p`` of 1 makes an empty set's chance 0 (the logarithm of 0 is null here).
+    Pairs under ``floor`` count for the choice and are left out of its result.
     """
     q = F.pow("p", F.lit(power))
-    owned = one_owner(pairs).filter(F.col("p") >= floor).withColumn("q", q)
+    owned = one_owner(pairs).withColumn("q", q)
     ranked = Window.partitionBy("s1").orderBy(F.desc("q"), "src", "m")
     whole = Window.partitionBy("s1")
     b2 = beta * beta
@@ -39,7 +40,7 @@ def expected_f(pairs: DataFrame, floor: float = 0.0, power: float = 1.0, beta: f
     ).withColumn("ef", (1 + b2) * F.col("cum") / (F.col("k") + b2 * F.col("n_hat")))
     top = steps.withColumn("ef_best", F.max("ef").over(whole))
     cut = top.withColumn("k_best", F.min(F.when(F.col("ef") >= F.col("ef_best"), F.col("k"))).over(whole))
-    return cut.filter((F.col("ef_best") > F.col("p_empty")) & (F.col("k") <= F.col("k_best"))).select(*pairs.columns)
+    return cut.filter((F.col("ef_best") > F.col("p_empty")) & (F.col("k") <= F.col("k_best")) & (F.col("p") >= floor)).select(*pairs.columns)
 
 
 def by_kind(kind: Column, limits: dict[int, float]) -> Column:
@@ -117,6 +118,71 @@ def in_band(pairs: DataFrame, low: float, high: float, p: str = "pf", sure: floa
     return pairs.filter((F.col(p) >= low) & (F.col(p) < high) & ~(F.col("kind").isin(0, 1) & (F.col("p") >= sure)))
 
 
+def logit(p: Column, least: float = 1e-6) -> Column:
+    """ln(p / (1 - p)), p kept ``least`` away from 0 and 1; null stays null."""
+    q = F.when(p.isNotNull(), F.greatest(F.lit(least), F.least(F.lit(1 - least), p)))
+    return F.log(q / (1 - q))
+
+
+def threshold_curve(pairs: DataFrame, truth: DataFrame, ids: DataFrame, grid: list[float]) -> DataFrame:
+    """F0.5, precision and recall (means over ``ids``) of owned pairs at each threshold, in one pass over all of them.
+
+    A pair is dealt to every threshold that it passes; the list of thresholds is a parameter.
+    """
+    steps = F.array(*map(F.lit, grid))
+    owned = one_owner(pairs).select("s1", *RECORD, F.explode(F.filter(steps, lambda t: t <= F.col("p"))).alias("threshold"))
+    hits = owned.join(truth.select("s1", *RECORD).distinct().withColumn("__t", F.lit(1)), ["s1", *RECORD], "left")
+    found = hits.groupBy("threshold", "s1").agg(F.count("*").alias("n_pred"), F.count("__t").alias("tp"))
+    true = truth.select("s1", *RECORD).distinct().groupBy("s1").agg(F.count("*").alias("n_true"))
+    every = ids.select("s1").distinct().join(true, "s1", "left").select("s1", F.coalesce("n_true", F.lit(0)).alias("n_true"), F.explode(steps).alias("threshold"))
+    x = every.join(found, ["threshold", "s1"], "left").na.fill(0, ["n_pred", "tp"])
+    f = F.when((F.col("n_true") == 0) & (F.col("n_pred") == 0), 1.0).when(F.col("tp") == 0, 0.0).otherwise(1.25 * F.col("tp") / (F.col("n_pred") + 0.25 * F.col("n_true")))
+    mean = lambda c: F.round(F.avg(c), 6)
+    return x.groupBy("threshold").agg(mean(f).alias("f05"), mean(F.try_divide("tp", "n_pred")).alias("macro_p"), mean(F.try_divide("tp", "n_true")).alias("macro_r"))
+
+
+def tune_threshold(curve: DataFrame) -> DataFrame:
+    """The curve's row of greatest F0.5, of equal ones the least threshold."""
+    return curve.orderBy(F.desc("f05"), "threshold").limit(1)
+
+
+def class_rules(pairs: DataFrame, limit: Column, lower: dict[str, float] | None = None, drop: dict[str, float] | None = None, second: float | None = None) -> DataFrame:
+    """Owned pairs (column cls: ``features.pair_class``) over ``limit``, with rules by class.
+
+    lower: a class's own limit, where it is lower; drop: a class goes where p is
+    under its value; second: records whose runner-up reaches this go.
+    """
+    value = lambda rules: F.try_element_at(F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in rules.items())), F.col("cls"))
+    ranked = Window.partitionBy(*RECORD).orderBy(F.desc("p"), "s1")
+    full = ranked.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    own = F.least(limit, value(lower)) if lower else limit
+    marked = one_owner(pairs.select("*", own.alias("__limit"), F.coalesce(F.nth_value("p", 2).over(full), F.lit(0.0)).alias("__p2")))
+    keep = F.col("p") >= F.col("__limit")
+    if second is not None:
+        keep &= F.col("__p2") < second
+    if drop:
+        keep &= F.col("p") >= F.coalesce(value(drop), F.lit(0.0))
+    return marked.filter(keep).drop("__limit", "__p2")
+
+
+def replace_rows(base: DataFrame, new: DataFrame, of: DataFrame, key: str = "s1") -> DataFrame:
+    """``base`` (pairs) with the rows of the s1 in ``of`` taken from ``new`` instead."""
+    return base.join(of.select(key).distinct(), key, "left_anti").unionByName(new.select(*base.columns).join(of.select(key).distinct(), key, "left_semi"))
+
+
+def add_kind(frame: DataFrame, extra: DataFrame, kind: int) -> DataFrame:
+    """``frame`` (s1, m, src, p, pf, kind) and the pairs of ``extra`` (s1, m, src, p) that it lacks, as ``kind``."""
+    keys = ["s1", *RECORD]
+    fresh = extra.select(*keys, "p").join(frame.select(*keys), keys, "left_anti")
+    return frame.unionByName(fresh.select(*keys, "p", F.col("p").alias("pf"), F.lit(kind).cast(frame.schema["kind"].dataType).alias("kind")))
+
+
+def probe_frame(frame: DataFrame, floor: float = 0.005) -> DataFrame:
+    """Rows over ``floor`` with their record's sum and greatest pf, over all rows."""
+    record = Window.partitionBy(*RECORD)
+    return frame.select("*", F.round(F.sum("pf").over(record), 6).alias("rec_sum"), F.max("pf").over(record).alias("rec_max")).filter(F.col("pf") >= floor)
+
+
 def open_records(records: DataFrame, scored: DataFrame, claimed: float) -> DataFrame:
     """Records without a pair scored ``claimed`` or more."""
     taken = scored.filter(F.col("p") >= claimed).select(*RECORD).distinct()

@@ -18,18 +18,42 @@ def set_overlap(a: Column, b: Column, sep: str = " ") -> Column:
     return F.when((F.size(x) > 0) & (F.size(y) > 0), F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)))
 
 
-def reverse_context(pairs: DataFrame, score: str = "p") -> DataFrame:
-    """Per record: how many s1 it has, its best score and the second of its best two (the best where there is one)."""
+def reverse_context(pairs: DataFrame, score: str = "p", name_score: str | None = None) -> DataFrame:
+    """Per record: how many s1 it has, its best score, the second of its best two (the best where there is one) and its best name score."""
     ranked = Window.partitionBy("m", "src").orderBy(F.desc(score))
-    two = pairs.select("m", "src", score, F.row_number().over(ranked).alias("__k"))
-    return two.groupBy("m", "src").agg(F.count("*").alias("rev_n_s1"), F.max(score).alias("rev_best"), F.min(F.when(F.col("__k") <= 2, F.col(score))).alias("rev_second"))
+    kept = [score, *([name_score] if name_score else [])]
+    two = pairs.select("m", "src", *kept, F.row_number().over(ranked).alias("__k"))
+    name = [F.max(name_score).alias("rev_best_name")] if name_score else []
+    return two.groupBy("m", "src").agg(F.count("*").alias("rev_n_s1"), F.max(score).alias("rev_best"), F.min(F.when(F.col("__k") <= 2, F.col(score))).alias("rev_second"), *name)
 
 
 def within_context(pairs: DataFrame, score: str = "p") -> DataFrame:
-    """A pair's score against the best of its s1 and source."""
+    """A pair's score as a share of the best of its s1 and source (null where that is 0), less that best, and the s1's pairs in all sources."""
+    best = F.max(score).over(Window.partitionBy("s1", "src"))
+    return pairs.select(
+        "*", F.round(F.try_divide(F.col(score), best), 6).alias("ctx_score_rel"), F.round(F.col(score) - best, 6).alias("ctx_score_gap"), F.count("*").over(Window.partitionBy("s1")).alias("ctx_n_cands")
+    )
+
+
+def pair_context(cands: DataFrame, reverse: DataFrame | None = None) -> DataFrame:
+    """``cands`` (s1, m, src, score, name_score, addr_score) with the ten columns of competition within the s1 and for the record.
+
+    ``reverse``: ``reverse_context`` of all candidates, if ``cands`` are only some of them.
+    """
+    if reverse is None:
+        reverse = reverse_context(cands, "score", "name_score")
     group = Window.partitionBy("s1", "src")
-    best = F.max(score).over(group)
-    return pairs.select("*", F.round(F.col(score) / best, 6).alias("ctx_score_rel"), F.round(best - F.col(score), 6).alias("ctx_score_gap"), F.count("*").over(group).alias("ctx_n_cands"), F.dense_rank().over(group.orderBy(F.desc(score))).alias("ctx_rank"))
+    share = lambda c, best: F.round(F.col(c) / F.greatest(best, F.lit(1e-6)), 6)
+    x = within_context(cands, "score").select("*", *(share(f"{k}_score", F.max(f"{k}_score").over(group)).alias(f"ctx_{k}_rel") for k in ("name", "addr")))
+    x = x.join(reverse, ["m", "src"], "left")
+    leads = F.col("score") >= F.col("rev_best")
+    return x.select(
+        "*",
+        leads.alias("rev_is_best"),
+        F.round(F.col("score") - F.when(leads, F.col("rev_second")).otherwise(F.col("rev_best")), 6).alias("rev_margin"),
+        F.round(F.try_divide("score", "rev_best"), 6).alias("rev_score_rel"),
+        share("name_score", F.col("rev_best_name")).alias("rev_name_rel"),
+    ).drop("rev_best", "rev_second", "rev_best_name")
 
 
 def tie_counts(records: DataFrame, keys: list[list[str]], names: list[str]) -> DataFrame:
@@ -50,7 +74,7 @@ def support(records: DataFrame, keys: list[list[str]], names: list[str], counted
 
 
 def anchors(pairs: DataFrame, p: str = "p", n: int = 2) -> DataFrame:
-    """Against the best other pairs of the same s1 (anchors): their scores, confident others, sum, rank and gap."""
+    """Against the best other pairs of the same s1 (anchors): their scores, confident others, sum, rank and the first one's lead."""
     group = Window.partitionBy("s1").orderBy(F.desc(p), "src", "m")
     whole = Window.partitionBy("s1")
     confident = (F.col(p) >= 0.5).cast("int")
@@ -64,7 +88,7 @@ def anchors(pairs: DataFrame, p: str = "p", n: int = 2) -> DataFrame:
         (F.sum(confident).over(whole) - confident).alias("g_n_conf"),
         F.round(F.sum(p).over(whole) - F.col(p), 6).alias("g_sum_p_others"),
         rank.alias("g_p_rank"),
-        F.round(F.max(p).over(whole) - F.col(p), 6).alias("g_p_gap"),
+        F.round(F.when(rank == 1, nth(2)).otherwise(nth(1)) - F.col(p), 6).alias("g_p_gap"),
     )
 
 
@@ -86,15 +110,17 @@ def token_bucket(records: DataFrame, country: str, text: str) -> DataFrame:
     return df.join(n, country).select(country, "tok", "df", (F.lit(8) + F.greatest(F.lit(-7), F.least(F.lit(10), raw))).alias("bucket"))
 
 
-def pair_class(empty: Column, house1: Column, house2: Column, name1: Column, name2: Column) -> Column:
-    """A ladder of cases for how two records differ."""
-    words = lambda c: F.array_distinct(F.filter(F.split(c, " "), lambda x: x != ""))
-    a, b = words(name1), words(name2)
-    miss, extra = F.size(F.array_except(a, b)), F.size(F.array_except(b, a))
-    shift = F.abs(house1 - house2)
+def pair_class(empty: Column, diff: Column, equal: Column, other_form: Column, missing: Column, words1: Column, extra: Column) -> Column:
+    """A ladder of cases for how two records differ; a null condition doesn't hold.
+
+    empty: the record has no address; diff: its house number less the s1's;
+    equal: 0 where both numbers are given and differ; other_form: its name is an
+    acronym or a domain; missing, extra: words of either name without a like in
+    the other; words1: words of the s1's name.
+    """
     return (
-        F.when(empty, "empty_addr").when((shift >= 1) & (shift <= 25), "sib_shift").when(shift > 25, "house_conflict").when(F.size(F.array_intersect(a, b)) == 0, "all_new_name")
-        .when((miss > 0) & (extra > 0), "word_swap").when(extra > 0, "add_word").when(miss > 0, "drop_word").otherwise("same_words")
+        F.when(empty, "empty_addr").when((diff >= 1) & (diff <= 25), "sib_shift").when(equal == 0, "house_conflict").when(other_form, "acr_domain")
+        .when((missing == words1) & (words1 > 0), "all_new_name").when((missing > 0) & (extra > 0), "word_swap").when(extra > 0, "add_word").when(missing > 0, "drop_word").otherwise("same_words")
     )
 
 

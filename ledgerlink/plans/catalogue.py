@@ -8,20 +8,10 @@ from pyspark.sql import functions as F
 from ledgerlink.functions import house, normalize, similarity
 from ledgerlink.operators import blocking, decision, evaluate, features, profile, sampling
 from ledgerlink.plans import fixtures as fx
+from ledgerlink.plans import textsql
+from ledgerlink.plans.registry import ORACLES, QUERIES, query
 from ledgerlink.sources import records as io
-
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
+from ledgerlink.staging import stage
 
 
 P, T_, R, RP, O = fx.PAIRS_SQL, fx.TRUTH_SQL, fx.RECORDS_SQL, fx.RECORD_PAIRS_SQL, fx.OWNED_SQL
@@ -40,11 +30,11 @@ scored AS (SELECT country, q.rid AS qid, x.rid AS rid, round(sum(wt), 6) AS scor
 
 def _doc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.split(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " "), " ")
-    return fx.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("rid"), F.col("lang").alias("country"), F.explode(F.array_distinct(words)).alias("tok")).filter(F.length("tok") >= 5).distinct()
+    return fx.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("rid"), F.col("lang").alias("country"), F.explode(F.array_distinct(words)).alias("tok")).filter(F.length("tok") >= 5)
 
 
 def _doc_scores(spark: SparkSession, sf_dir: str, max_df: int = 20) -> DataFrame:
-    tokens = _doc_tokens(spark, sf_dir)
+    tokens = stage(_doc_tokens(spark, sf_dir), "tokens")
     return blocking.score_pairs(tokens.filter("rid % 3 = 0"), tokens.filter("rid % 3 <> 0"), ["country"], max_df).withColumn("score", F.round("score", 6))
 
 
@@ -54,7 +44,7 @@ def idf_block_topk(spark, sf_dir):
 
 
 @query(f"""WITH {_DOC_TOKENS}, r AS (SELECT *, row_number() OVER (PARTITION BY country, rid ORDER BY score DESC, qid) AS r_rank FROM scored),
-b AS (SELECT *, max(CASE WHEN r_rank = 1 THEN score END) OVER (PARTITION BY country, rid) AS r_best1, max(CASE WHEN r_rank = 2 THEN score END) OVER (PARTITION BY country, rid) AS r_best2 FROM r)
+b AS (SELECT *, max(CASE WHEN r_rank = 1 THEN score END) OVER (PARTITION BY country, rid) AS r_best1, coalesce(max(CASE WHEN r_rank = 2 THEN score END) OVER (PARTITION BY country, rid), 0.0) AS r_best2 FROM r)
 SELECT country, qid, rid, score, r_rank, r_best1, r_best2 FROM b WHERE r_rank <= 3 OR (rid % 10 = 1 AND r_rank <= 10)""")
 def reverse_block_topk(spark, sf_dir):
     return blocking.reverse_top_k(_doc_scores(spark, sf_dir), ["country", "rid"], 3, 10, F.col("rid") % 10 == 1, "qid").select("country", "qid", "rid", "score", "r_rank", "r_best1", "r_best2")
@@ -93,7 +83,7 @@ def idf_block_topk_full(spark, sf_dir):
 
 @query(ORACLES["reverse_block_topk"].replace(_DOC_TOKENS, _REVERSE_FULL))
 def reverse_block_topk_full(spark, sf_dir):
-    tokens = _doc_tokens(spark, sf_dir)
+    tokens = stage(_doc_tokens(spark, sf_dir), "tokens")
     found = blocking.score_pairs(tokens.filter("rid % 3 <> 0"), tokens.filter("rid % 3 = 0"), ["country"], REVERSE_DF)
     pairs = found.select("country", F.col("rid").alias("qid"), F.col("qid").alias("rid"), F.round("score", 6).alias("score"))
     return blocking.reverse_top_k(pairs, ["country", "rid"], 3, 10, F.col("rid") % 10 == 1, "qid").select("country", "qid", "rid", "score", "r_rank", "r_best1", "r_best2")
@@ -128,6 +118,11 @@ def expected_f_select(spark, sf_dir):
     return decision.expected_f(fx.pairs(spark, sf_dir))
 
 
+@query(ORACLES["expected_f_select"] + " AND p >= 0.9")
+def expected_f_floor(spark, sf_dir):
+    return decision.expected_f(fx.pairs(spark, sf_dir), floor=0.9)
+
+
 @query(f"""WITH {P}, {O}, k AS (SELECT s1, m, src, p, (s1 + m) % 3 AS kind FROM owned),
 c AS (SELECT *, p >= CASE kind WHEN 0 THEN 0.7 WHEN 1 THEN 0.8 ELSE 0.9 END AS ok, row_number() OVER (PARTITION BY s1 ORDER BY p DESC, src, m) AS r FROM k),
 a AS (SELECT *, max(CAST(ok AS INT)) OVER (PARTITION BY s1) AS any_ok FROM c) SELECT s1, m, src, p, kind, NOT ok AS rescued FROM a WHERE ok OR (any_ok = 0 AND r = 1 AND p >= 0.5)""")
@@ -161,13 +156,10 @@ def reverse_context(spark, sf_dir):
     return features.reverse_context(fx.pairs(spark, sf_dir))
 
 
-@query(f"""WITH {P}, r AS (SELECT *, max(p) OVER (PARTITION BY s1, src) AS mx, count(*) OVER (PARTITION BY s1, src) AS ctx_n_cands, dense_rank() OVER (PARTITION BY s1, src ORDER BY p DESC) AS ctx_rank FROM pairs)
-SELECT s1, m, src, p, round(p / mx, 6) AS ctx_score_rel, round(mx - p, 6) AS ctx_score_gap, ctx_n_cands, ctx_rank FROM r WHERE mx > 0""")
+@query(f"""WITH {P}, r AS (SELECT *, max(p) OVER (PARTITION BY s1, src) AS mx, count(*) OVER (PARTITION BY s1) AS ctx_n_cands FROM pairs)
+SELECT s1, m, src, p, CASE WHEN mx <> 0 THEN round(p / mx, 6) END AS ctx_score_rel, round(p - mx, 6) AS ctx_score_gap, ctx_n_cands FROM r""")
 def within_context(spark, sf_dir):
-    from pyspark.sql import Window
-
-    pairs = fx.pairs(spark, sf_dir).withColumn("mx", F.max("p").over(Window.partitionBy("s1", "src"))).filter("mx > 0").drop("mx")
-    return features.within_context(pairs)
+    return features.within_context(fx.pairs(spark, sf_dir))
 
 
 @query("SELECT p_partkey, count(*) OVER (PARTITION BY p_type, p_name) AS k_n, count(*) OVER (PARTITION BY p_type, p_name, p_brand) AS kl_n FROM part")
@@ -234,13 +226,6 @@ def house_digit_features(spark, sf_dir):
     return p.select("s1", "m", "src", *features.house_digits(F.col("house_1").cast("string"), F.col("house_2").cast("string")))
 
 
-@query(f"""WITH {RP}, w AS (SELECT s1, m, src, abs(house_1 - house_2) AS d, s1 % 7 = 0 AS e FROM rp)
-SELECT s1, m, src, CASE WHEN e THEN 'empty_addr' WHEN d BETWEEN 1 AND 25 THEN 'sib_shift' WHEN d > 25 THEN 'house_conflict' ELSE 'same_words' END AS pair_class FROM w""")
-def pair_class_ladder(spark, sf_dir):
-    p = fx.record_pairs(spark, sf_dir)
-    return p.select("s1", "m", "src", features.pair_class(F.col("s1") % 7 == 0, F.col("house_1"), F.col("house_2"), F.col("name_key"), F.col("name_key")).alias("pair_class"))
-
-
 @query(f"""WITH {RP}, p AS (SELECT s1, m, src, country, name_key, house_1 <> house_2 AS conflict, CAST((s1 * 31 + m) % 100 AS DOUBLE) / 100 AS p, CAST((s1 * 17 + m) % 100 AS DOUBLE) / 100 AS p_blend FROM rp),
 tied AS (SELECT country, name_key FROM records WHERE src = 1 GROUP BY 1, 2 HAVING count(*) >= 2), seen AS (SELECT DISTINCT country FROM records WHERE rid % 6 = 0)
 SELECT s1, m, src, p, p_blend, CASE WHEN EXISTS (SELECT 1 FROM tied t WHERE t.country = p.country AND t.name_key = p.name_key) THEN least(p, p_blend) ELSE p_blend END AS p_guarded
@@ -264,12 +249,16 @@ def _name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_NAMES_SQL} SELECT a, b, round(jaro_winkler_similarity(a, b), 6) AS jaro_winkler FROM x")
 def jaro_winkler_scores(spark, sf_dir):
-    return _name_pairs(spark, sf_dir).select("a", "b", F.round(similarity.scores(F.col("a"), F.col("b"))["jaro_winkler"], 6).alias("jaro_winkler"))
+    return _name_pairs(spark, sf_dir).select("a", "b", F.round(similarity.score("jaro_winkler", F.col("a"), F.col("b")), 6).alias("jaro_winkler"))
 
 
-@query()
+_KINDS = ["ratio", "partial", "token_sort", "token_set", "jaro_winkler"]
+
+
+@query(f"""{_NAMES_SQL}, kinds AS (SELECT unnest({_KINDS}) AS kind), wanted AS (SELECT kind, a, b FROM x CROSS JOIN kinds), {textsql.scored("wanted")}
+SELECT a, b, {", ".join(f"max(CASE WHEN kind = '{k}' THEN v END) AS {k}" for k in _KINDS)} FROM sc GROUP BY a, b""")
 def fuzzy_scores(spark, sf_dir):
-    return _name_pairs(spark, sf_dir).withColumn("s", similarity.scores(F.col("a"), F.col("b"))).select("a", "b", "s.*")
+    return _name_pairs(spark, sf_dir).withColumn("s", similarity.scores(F.col("a"), F.col("b"))).select("a", "b", *(F.round(f"s.{k}", 6).alias(k) for k in _KINDS))
 
 
 @query("SELECT c_custkey, trim(regexp_replace(regexp_replace(replace(lower(c_name), '&', ' and '), '[.''`’]', '', 'g'), '[^a-z0-9]+', ' ', 'g')) AS name_norm FROM customer")
@@ -290,13 +279,6 @@ def normalise_addresses(spark, sf_dir):
     return normalize.normalize_addresses(df).drop("business_address")
 
 
-@query()
-def record_tokens(spark, sf_dir):
-    names = fx.records(spark, sf_dir).withColumn("name_core", F.lower("name_key"))
-    full = names.select("rid", "country", "name_core", F.col("name_core").alias("name_key"), F.array_join(F.transform(F.split("name_core", " "), normalize.skeleton), " ").alias("name_skel"), F.lower("state").alias("addr_norm"), F.lower("state").alias("addr_street"), F.lower("country").alias("addr_localities"), F.col("house_no").cast("string").alias("addr_house_no"))
-    return blocking.record_tokens(full)
-
-
 # ---- vectors
 
 _KNN_SQL = """knn AS (SELECT block, qid, pid, c, row_number() OVER (PARTITION BY qid ORDER BY c DESC, pid) AS rank FROM (
@@ -383,7 +365,7 @@ def id_list_roundtrip(spark, sf_dir):
 
 @query(f"""WITH {P}, r AS (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY p DESC, src, m) AS k FROM pairs), n AS (SELECT *, max(CASE WHEN k = 1 THEN p END) OVER w AS a, max(CASE WHEN k = 2 THEN p END) OVER w AS b, max(CASE WHEN k = 3 THEN p END) OVER w AS c,
   sum(p) OVER w AS sm, sum(CASE WHEN p >= 0.5 THEN 1 ELSE 0 END) OVER w AS nc FROM r WINDOW w AS (PARTITION BY s1))
-SELECT s1, m, src, p, CASE WHEN k = 1 THEN b ELSE a END AS g_anchor1_p, CASE WHEN k <= 2 THEN c ELSE b END AS g_anchor2_p, nc - CASE WHEN p >= 0.5 THEN 1 ELSE 0 END AS g_n_conf, round(sm - p, 6) AS g_sum_p_others, k AS g_p_rank, round(a - p, 6) AS g_p_gap FROM n""")
+SELECT s1, m, src, p, CASE WHEN k = 1 THEN b ELSE a END AS g_anchor1_p, CASE WHEN k <= 2 THEN c ELSE b END AS g_anchor2_p, nc - CASE WHEN p >= 0.5 THEN 1 ELSE 0 END AS g_n_conf, round(sm - p, 6) AS g_sum_p_others, k AS g_p_rank, round(CASE WHEN k = 1 THEN b ELSE a END - p, 6) AS g_p_gap FROM n""")
 def group_anchor_features(spark, sf_dir):
     return features.anchors(fx.pairs(spark, sf_dir))
 
@@ -615,3 +597,6 @@ def hard_positives(spark, sf_dir):
 @query()
 def script_inventory(spark, sf_dir):
     return profile.scripts(fx.table(spark, sf_dir, "documents"), "text", ["lang"])
+
+
+from ledgerlink.plans import pair_catalogue  # noqa: E402, F401  (adds its queries)

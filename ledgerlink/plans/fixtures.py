@@ -52,3 +52,34 @@ def record_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 RECORD_PAIRS_SQL = RECORDS_SQL + """, rp AS (
   SELECT a.rid AS s1, b.rid AS m, b.src, country, name_key, a.house_no AS house_1, a.state AS state_1, b.house_no AS house_2, b.state AS state_2
   FROM (SELECT * FROM records WHERE src = 1) a JOIN (SELECT * FROM records WHERE src <> 1) b USING (country, name_key))"""
+
+
+def linkage_sql(spark: bool) -> str:
+    """Normalised records of three sources as ``rec``, in the words of either engine: names in six variants, addresses with gaps."""
+    split, join, order, distinct = ("split", "array_join", "array_sort", "array_distinct") if spark else ("string_split", "array_to_string", "list_sort", "list_distinct")
+    key = lambda c: f"{join}({order}({distinct}({split}({c}, ' '))), ' ')"
+    return f"""base AS (
+  SELECT p_partkey AS rid, CASE WHEN p_partkey % 5 = 0 THEN 1 WHEN p_partkey % 5 < 3 THEN 2 ELSE 3 END AS src, p_type AS country, p_name, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b,
+    lower(replace(p_brand, '#', '')) AS brand, CAST(p_size AS STRING) AS size, p_size % 4 AS way_no, p_size % 5 AS state_no, p_partkey % 9 = 4 AS bare FROM part),
+named AS (
+  SELECT *, CASE rid % 6 WHEN 1 THEN a || ' ' || b || ' ' || brand WHEN 2 THEN b || ' ' || a WHEN 3 THEN substr(a, 1, 2) || substr(a, 4) || ' ' || b WHEN 4 THEN b WHEN 5 THEN a || b ELSE a || ' ' || b END AS name_core,
+    CASE WHEN bare OR rid % 8 = 1 THEN '' ELSE size END AS house, CASE way_no WHEN 0 THEN 'main st' WHEN 1 THEN 'oak rd' WHEN 2 THEN 'mill lane' ELSE 'hill top ave' END AS way,
+    CASE rid % 5 WHEN 0 THEN '' WHEN 1 THEN 'ltd' WHEN 2 THEN 'ltd pvt' WHEN 3 THEN 'inc' ELSE 'ltd' END AS name_legal FROM base),
+placed AS (
+  SELECT *, CASE WHEN bare THEN '' ELSE trim(house || ' ' || way) END AS addr_street,
+    CASE WHEN bare THEN '' WHEN rid % 3 = 0 THEN 'north ' || lower(country) || ' | ' || brand ELSE 'north ' || lower(country) END AS addr_localities FROM named),
+rec AS (
+  SELECT rid, src, country, p_name, name_core, {key("name_core")} AS name_key, translate(name_core, 'aeiou', '') AS name_skel, name_legal, trim(name_core || ' ' || name_legal) AS name_norm,
+    CASE WHEN rid % 7 = 0 THEN b || ' group' ELSE '' END AS name_alt, rid % 11 = 0 AS name_is_domain, rid % 13 = 0 AS name_indic, bare AS addr_empty, addr_street, addr_localities,
+    trim(addr_street || ' ' || replace(addr_localities, ' | ', ' ')) AS addr_norm, {key("trim(addr_street || ' ' || replace(addr_localities, ' | ', ' '))")} AS addr_key,
+    CASE WHEN bare OR rid % 7 = 2 THEN '' ELSE 'state ' || CAST(state_no AS STRING) END AS addr_state, CASE WHEN bare OR rid % 3 = 1 THEN '' ELSE '100' || size END AS addr_postcode,
+    CASE WHEN house = '' THEN '' WHEN rid % 4 = 0 THEN house || ' 7' ELSE house END AS addr_nums, house AS addr_house_no, CASE WHEN rid % 10 = 3 THEN '' ELSE house END AS house_v2,
+    CASE WHEN bare THEN '' ELSE 'B-' || size || ', ' || way || ', ' || country END AS business_address FROM placed),
+cand AS (
+  SELECT a.rid AS s1, b.rid AS m, b.src, country, CAST((a.rid * 31 + b.rid * 17) % 1000 AS DOUBLE) / 100 AS score, CAST((a.rid * 13 + b.rid * 29) % 700 AS DOUBLE) / 100 AS name_score,
+    CAST((a.rid * 7 + b.rid * 3) % 5 AS DOUBLE) AS addr_score FROM (SELECT * FROM rec WHERE src = 1) a JOIN (SELECT * FROM rec WHERE src <> 1) b USING (country, p_name))"""
+
+
+def linkage(spark: SparkSession, sf_dir: str, name: str, where: str = "true") -> DataFrame:
+    """The table ``rec`` or ``cand`` of ``linkage_sql``."""
+    return spark.sql(f"WITH {linkage_sql(True).replace('FROM part)', 'FROM {part})')} SELECT * FROM {name} WHERE {where}", part=table(spark, sf_dir, "part"))
