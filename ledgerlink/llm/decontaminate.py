@@ -85,9 +85,11 @@ def share(part: list[str], around: list[str], around_grams: set[tuple[str, ...]]
 
 
 def pieces_of(words: list[str]) -> list[list[str]]:
-    """Stretches of at most ``PIECE`` words that hold every word; the last one of a longer item overlaps the one before."""
-    begins = [*range(0, max(1, len(words) - PIECE), PIECE), max(0, len(words) - PIECE)]
-    return [words[a : a + PIECE] for a in dict.fromkeys(begins)] if words else []
+    """Stretches of at most ``PIECE`` words that hold every word; a last one of less than half of that is a whole one that overlaps."""
+    begins = list(range(0, len(words), PIECE))
+    if len(begins) > 1 and len(words) - begins[-1] < PIECE // 2:
+        begins[-1] = len(words) - PIECE
+    return [words[a : a + PIECE] for a in begins]
 
 
 def pairs_of(words: list[str]) -> list[str]:
