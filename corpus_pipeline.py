@@ -1,4 +1,13 @@
-"""The training-data pipeline: five stages, each a Parquet table for the next."""
+"""The training-data pipeline: five stages, each a Parquet table for the next.
+
+Stages judge rows, not ids: of rows that share an id a stage drops those whose
+own text it rejects, and rows with a null id are judged like all others.  A null
+or empty text fails the quality rules.  Of rows with the same id and text, and of
+each group of near copies, one row stays, the one of the least id (a null id comes
+last).  An empty table, or an empty benchmark or label table, gives tables with
+the same columns.  Very long texts are judged whole, and further columns of
+``documents`` are carried along up to the last stage.
+"""
 
 from __future__ import annotations
 

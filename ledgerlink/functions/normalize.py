@@ -197,26 +197,29 @@ def normalize_addresses(df: DataFrame, raw: str = "business_address", country: s
     )
 
 
-def learn_token_map(pairs: DataFrame, left: str, right: str, min_count: int = 3, min_share: float = 0.5) -> DataFrame:
-    """From true pairs of names with equally many words: the Latin word that each native one mostly stands against."""
-    from ledgerlink.operators.features import majority_map
-
-    a, b = words(F.col(left)), words(F.col(right))
-    votes = pairs.filter(F.size(a) == F.size(b)).select(F.explode(F.arrays_zip(a.alias("native"), b.alias("latin"))).alias("z")).select("z.native", "z.latin")
-    return majority_map(votes, "native", "latin", min_count, min_share)
-
-
-def address_signature(house: Column, street: Column, localities: Column, country: Column, stop: list[str] | None = None) -> Column:
-    """country|house|sorted street words|first locality; null without house and words."""
-    kept = F.array_sort(F.array_distinct(F.filter(F.array_except(words(F.regexp_replace(street, r"\|", " ")), _array(stop or [""])), lambda x: x.rlike("^[a-z]{2,}$"))))
-    first = F.coalesce(F.get(F.split(localities, r" \| "), 0), F.lit(""))
-    return F.when((house != "") | (F.size(kept) > 0), F.concat_ws("|", country, house, F.array_join(kept, " "), first))
+def learn_maps(pairs: DataFrame, country: str = "India", min_count: int = 3, min_share: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """From true pairs of one country: what native words and native address parts mostly stand against.
 
+    pairs: business_name_1, business_address_1 and the same with _2, the records
+    of the reference list first; only pairs of training data may be given.  Two
+    tables with native, latin (a word, legal forms canonical) and native, state.
+    """
+    from ledgerlink.operators.features import majority_map
 
-def same_initials(name1: Column, name2: Column) -> Column:
-    """Whether one name is the other's initials, in any order, two to six letters."""
-    initials = lambda c: F.transform(words(c), lambda w: F.substring(w, 1, 1))
-    letters = lambda c: F.array_sort(F.filter(F.split(F.regexp_replace(c, " ", ""), ""), lambda x: x != ""))
-    one_word = lambda c: (F.size(words(c)) == 1) & F.char_length(c).between(2, 6)
-    fits = lambda a, b: one_word(a) & (letters(a) == F.array_sort(initials(b)))
-    return fits(name1, name2) | fits(name2, name1)
+    indic = "[\\u0900-\\u0DFF]"
+    folded = lambda c: words(simple(to_ascii(F.coalesce(F.col(c), F.lit("")))))
+    named = pairs.filter(F.col("business_name_2").rlike(indic)).select(folded("business_name_2").alias("a"), folded("business_name_1").alias("b")).filter(F.size("a") == F.size("b"))
+    each = named.select(F.explode(F.arrays_zip("a", "b")).alias("z")).select(F.col("z.a").alias("native"), F.col("z.b").alias("latin")).filter("native <> latin")
+    legal = _literal_map(t.LEGAL)
+    words_of = majority_map(each.withColumn("latin", F.coalesce(F.try_element_at(legal, F.col("latin")), F.col("latin"))), "native", "latin", min_count, min_share)
+    placed = normalize_addresses(pairs.withColumn("__land", F.lit(country)), "business_address_1", "__land").filter("addr_state <> ''")
+    parts = placed.select("addr_state", F.explode(_folded_parts(F.coalesce(F.col("business_address_2"), F.lit("")))).alias("p")).filter("p.indic").select(simple(F.col("p.a")).alias("native"), F.col("addr_state").alias("state"))
+    return words_of, majority_map(parts.filter("native <> ''"), "native", "state", min_count, min_share)
+
+
+def as_map(table: DataFrame, most: int = 100_000) -> dict[str, str]:
+    """A learnt table as a map for ``normalize_names`` and ``normalize_addresses``; more rows than ``most`` are an error."""
+    rows = table.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} entries")
+    return {r[0]: r[1] for r in rows}

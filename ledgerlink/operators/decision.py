@@ -71,12 +71,26 @@ def select_normalised(pairs: DataFrame, least: float, alpha: float = 0.5) -> Dat
     return one_owner(record_normalised(pairs, alpha)).filter(F.col("pn") >= least)
 
 
-def drop_contested(pairs: DataFrame, least: float, second: float) -> DataFrame:
-    """Owned pairs over ``least`` whose record has no runner-up at ``second`` or more."""
+def drop_contested(pairs: DataFrame, least: float | dict[str, float], second: float, country: str = "country") -> DataFrame:
+    """Owned pairs over ``least`` (one for all, or by country) whose record has no runner-up at ``second`` or more.
+
+    Pairs of a country without a limit go.
+    """
     ranked = Window.partitionBy(*RECORD).orderBy(F.desc("p"), "s1")
     full = ranked.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     marked = pairs.select("*", F.row_number().over(ranked).alias("__k"), F.coalesce(F.nth_value("p", 2).over(full), F.lit(0.0)).alias("p2"))
-    return marked.filter((F.col("__k") == 1) & (F.col("p") >= least) & (F.col("p2") < second)).drop("__k")
+    limit = F.lit(least) if not isinstance(least, dict) else F.try_element_at(F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in least.items())), F.col(country))
+    return marked.filter((F.col("__k") == 1) & (F.col("p") >= limit) & (F.col("p2") < second)).drop("__k")
+
+
+def drop_empty_ties(pairs: DataFrame, entities: DataFrame, records: DataFrame, least: int = 2) -> DataFrame:
+    """``pairs`` without those of records that have no address and whose name key ``least`` or more s1 of the country share.
+
+    entities: country, name_key; records: m, src, country, name_key, addr_empty.
+    """
+    shared = entities.groupBy("country", "name_key").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    tied = records.filter("addr_empty").join(shared, ["country", "name_key"], "left_semi").select(*RECORD)
+    return pairs.join(tied, RECORD, "left_anti")
 
 
 def contest(pairs: DataFrame, confident: float = 0.3) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -32,21 +32,76 @@ def summarize(scores: DataFrame, by: list[str] | None = None) -> DataFrame:
     )
 
 
-def blocking_report(cands: DataFrame, truth: DataFrame, ids: DataFrame, key: str = "s1", match: list[str] | None = None) -> DataFrame:
-    """Pair recall, share of entities whose matches are all found, F0.5 of a perfect chooser, candidates an entity."""
-    match = match or ["m", "src"]
-    have = cands.select(key, *match).distinct().join(ids, key, "left_semi")
+def _blocking(cands: DataFrame, truth: DataFrame, ids: DataFrame, key: str, match: list[str]) -> DataFrame:
+    """For each of ``ids`` its columns, n_true, tp, f of a perfect chooser and n_cand."""
+    have = cands.select(key, *match).distinct().join(ids.select(key), key, "left_semi")
     hits = have.join(truth.select(key, *match).distinct(), [key, *match], "left_semi")
-    scores = entity_scores(hits, truth, ids, key, match)
-    sizes = have.groupBy(key).agg(F.count("*").alias("__n"))
-    return scores.join(sizes, key, "left").agg(
+    sizes = have.groupBy(key).agg(F.count("*").alias("n_cand"))
+    return entity_scores(hits, truth, ids, key, match).join(sizes, key, "left").na.fill(0, ["n_cand"])
+
+
+def blocking_report(cands: DataFrame, truth: DataFrame, ids: DataFrame, key: str = "s1", match: list[str] | None = None, pool: DataFrame | None = None) -> DataFrame:
+    """Pair recall, share of entities whose matches are all found, F0.5 of a perfect chooser, candidates an entity.
+
+    pool: country and n, its records; with it (and a country in ``ids``) the
+    share of all possible pairs that blocking saves.
+    """
+    asked = ids
+    if pool is not None:
+        asked = ids.join(pool.select("country", F.col("n").alias("__pool")), "country", "left").na.fill(0, ["__pool"])
+    saved = [F.sum("n_cand").alias("n_cand_pairs"), F.round(1 - F.expr("try_divide(sum(n_cand), sum(__pool))"), 6).alias("reduction_ratio")] if pool is not None else []
+    return _blocking(cands, truth, asked, key, match or ["m", "src"]).agg(
         F.round(F.expr("try_divide(sum(tp), sum(n_true))"), 6).alias("pair_recall"),
         F.round(F.avg(F.when(F.col("n_true") > 0, (F.col("tp") == F.col("n_true")).cast("double"))), 6).alias("entity_full_recall"),
         F.round(F.avg("f"), 6).alias("oracle_f05"),
-        F.round(F.avg(F.coalesce("__n", F.lit(0)).cast("double")), 6).alias("cands_per_entity"),
+        F.round(F.avg(F.col("n_cand").cast("double")), 6).alias("cands_per_entity"),
+        *saved,
     )
 
 
+def blocking_by_country(cands: DataFrame, truth: DataFrame, ids: DataFrame, key: str = "s1", match: list[str] | None = None) -> DataFrame:
+    """Pair recall and candidates an entity of each country that has a true pair, a hit and a candidate."""
+    by = _blocking(cands, truth, ids, key, match or ["m", "src"]).groupBy("country").agg(F.sum("n_true").alias("t"), F.sum("tp").alias("h"), F.sum("n_cand").alias("c"), F.count("*").alias("n"))
+    return by.filter("t > 0 AND h > 0 AND c > 0").select("country", F.round(F.col("h") / F.col("t"), 6).alias("pair_recall"), F.round(F.col("c") / F.col("n"), 6).alias("cands_per_entity"))
+
+
+def outside(selected: DataFrame, candidates: list[DataFrame], keys: list[str] | None = None) -> DataFrame:
+    """Selected pairs that no candidate set holds."""
+    keys = keys or ["s1", "m", "src"]
+    left = selected.select(*keys).distinct()
+    for c in candidates:
+        left = left.join(c.select(*keys), keys, "left_anti")
+    return left
+
+
+def containment(selected: DataFrame, candidates: list[DataFrame], keys: list[str] | None = None) -> DataFrame:
+    """One row: selected, outside and whether none is."""
+    keys = keys or ["s1", "m", "src"]
+    lost = outside(selected, candidates, keys).withColumn("__out", F.lit(1))
+    return selected.select(*keys).distinct().join(lost, keys, "left").agg(F.count("*").alias("selected"), F.count("__out").alias("outside"), (F.count("__out") == 0).alias("ok"))
+
+
+def sliced(scores: DataFrame, slices: dict[str, Column]) -> DataFrame:
+    """``summarize`` of each named condition on ``entity_scores``, in one pass; an entity may be in several."""
+    named = F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in slices.items())))
+    return summarize(scores.withColumn("slice", F.explode(named)), ["slice"])
+
+
+def report_line(name: str, summary: DataFrame) -> str:
+    """A line of text from one row of ``summarize``."""
+    r = summary.first()
+    return f"{name}: F0.5 {r['f05']:.5f} P {r['micro_p'] or 0:.5f} R {r['micro_r'] or 0:.5f} of {r['n']} entities"
+
+
+def class_metrics(scored: DataFrame, label: str = "label", score: str = "p", least: float = 1e-15) -> DataFrame:
+    """Log loss, accuracy at one half, Brier score and the share of positives."""
+    p, y = F.greatest(F.lit(least), F.least(F.lit(1 - least), F.col(score))), F.col(label)
+    return scored.agg(
+        F.count("*").alias("n"), F.round(F.avg(-(y * F.log(p) + (1 - y) * F.log(1 - p))), 6).alias("log_loss"), F.round(F.avg(((F.col(score) >= 0.5).cast("int") == y).cast("double")), 6).alias("accuracy"),
+        F.round(F.avg((F.col(score) - y) * (F.col(score) - y)), 6).alias("brier"), F.round(F.avg(y.cast("double")), 6).alias("positive_rate"),
+    )
+
+
 def recall_gain(blocking: DataFrame, extra: DataFrame, truth: DataFrame, keys: list[str]) -> DataFrame:
     """Hits of blocking, of the extra candidates and of both, and pairs that only the extra ones bring."""
     tag = lambda df, name: df.select(*keys).distinct().withColumn(name, F.lit(1))
@@ -62,6 +117,38 @@ def diff(old: DataFrame, new: DataFrame, keys: list[str], by: list[str] | None =
     return both.groupBy(*(by or [])).agg(F.count(F.when(F.col("__o").isNull(), 1)).alias("added"), F.count(F.when(F.col("__n").isNull(), 1)).alias("removed"), F.count(F.col("__o") + F.col("__n")).alias("kept"))
 
 
+def diff_rate(old: DataFrame, new: DataFrame, entities: DataFrame, keys: list[str], key: str = "s1", by: str = "country") -> DataFrame:
+    """Pairs added and removed in each group of entities, and for a thousand of them; entities: key and ``by``."""
+    named = lambda df: df.select(*keys).join(entities.select(key, by), key)
+    moved = diff(named(old), named(new), [*keys, by], [by])
+    sizes = entities.groupBy(by).agg(F.count("*").alias("n"))
+    rate = lambda c: F.round(1000 * F.coalesce(F.col(c), F.lit(0)) / F.col("n"), 6).alias(f"{c}_per_1k")
+    return sizes.join(moved, by, "left").na.fill(0, ["added", "removed", "kept"]).select(by, "n", "added", "removed", rate("added"), rate("removed"))
+
+
+def validate_file(spark: SparkSession, path: str, expected: DataFrame, known: DataFrame | None = None, candidates: DataFrame | None = None, key: str = "source1_entity_id", col: str = "matched_entity_ids") -> DataFrame:
+    """``validate`` of a file, and its form: bad_header, not_tab_separated (rows with commas alone), malformed_row; not_a_candidate is a warning.
+
+    expected: ids of all rows; known: ids that may be matched; candidates: ``key`` and id of candidate pairs.
+    """
+    lines = spark.read.text(path).filter("value <> ''").withColumn("__file", F.input_file_name()).withColumn("__at", F.monotonically_increasing_id())
+    firsts = lines.groupBy("__file").agg(F.min("__at").alias("__at")).withColumn("__first", F.lit(True))
+    marked = lines.join(firsts, ["__file", "__at"], "left")
+    cells = F.split("value", "\t", -1)
+    head = marked.filter("__first").agg(F.sum((F.col("value") != f"{key}\t{col}").cast("long")).alias("bad_header"))
+    body = marked.filter("__first IS NULL").select("value", cells.alias("c"))
+    form = body.agg(
+        F.sum((~F.col("value").contains("\t") & F.col("value").contains(",")).cast("long")).alias("not_tab_separated"), F.sum(((F.size("c") != 2) | (F.trim(F.get("c", 0)) == "")).cast("long")).alias("malformed_row")
+    )
+    rows = body.filter(F.size("c") == 2).select(F.trim(F.get("c", 0)).alias(key), F.get("c", 1).alias(col))
+    long = lambda df: df.select(F.inline(F.array(*(F.struct(F.lit(n).alias("check"), F.coalesce(F.col(n), F.lit(0)).cast("long").alias("n")) for n in df.columns))))
+    out = long(head).unionByName(long(form)).unionByName(validate(rows, expected, known, key, col))
+    if candidates is not None:
+        ids = rows.select(key, F.explode(F.filter(F.split(F.col(col), ","), lambda x: x != "")).alias("id"))
+        out = out.unionByName(ids.join(candidates.select(F.col(candidates.columns[0]).alias(key), F.col(candidates.columns[1]).alias("id")), [key, "id"], "left_anti").agg(F.count("*").alias("n")).select(F.lit("not_a_candidate").alias("check"), "n"))
+    return out
+
+
 def validate(lists: DataFrame, expected: DataFrame, known: DataFrame | None = None, key: str = "source1_entity_id", col: str = "matched_entity_ids") -> DataFrame:
     """Rows check, n: how often each rule of a submission is broken; rules that hold have 0."""
     ids = F.filter(F.split(F.coalesce(F.col(col), F.lit("")), ","), lambda x: x != "")

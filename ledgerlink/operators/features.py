@@ -140,7 +140,7 @@ def house_digits(a: Column, b: Column) -> list[Column]:
 
 def token_rarity(pairs: DataFrame, keys: list[str], tokens: str, frequency: DataFrame, name: str) -> DataFrame:
     """``name``: the greatest ``bucket`` of a pair's ``tokens`` in its country; 0 for unseen ones, -1 without tokens."""
-    each = pairs.select(*keys, "country", F.explode_outer(tokens).alias("tok"))
+    each = pairs.select(*dict.fromkeys([*keys, "country"]), F.explode_outer(tokens).alias("tok"))
     found = each.join(frequency.select("country", "tok", "bucket"), ["country", "tok"], "left")
     best = found.groupBy(*keys).agg(F.max(F.when(F.col("tok").isNull(), -1).otherwise(F.coalesce("bucket", F.lit(0)))).alias(name))
     return pairs.join(best, keys, "left")

@@ -272,7 +272,8 @@ def domain_core(spark, sf_dir):
     return fx.table(spark, sf_dir, "pages").select("page_id", F.regexp_extract(host, r"([a-z0-9-]+)\.(com|net|org)$", 1).alias("domain_core"))
 
 
-@query()
+@query("""SELECT c_custkey, 'US' AS country, c_custkey || ' ' || replace(lower(c_mktsegment), 'building', 'bldg') || ' st high pt' AS addr_norm, array_to_string(list_sort(list_distinct(string_split(c_custkey || ' ' || replace(lower(c_mktsegment), 'building', 'bldg') || ' st high pt', ' '))), ' ') AS addr_key,
+  c_custkey || ' ' || replace(lower(c_mktsegment), 'building', 'bldg') || ' st' AS addr_street, 'high pt' AS addr_localities, 'north carolina' AS addr_state, '' AS addr_postcode, CAST(c_custkey AS VARCHAR) AS addr_nums, CAST(c_custkey AS VARCHAR) AS addr_house_no, false AS addr_empty FROM customer""")
 def normalise_addresses(spark, sf_dir):
     made = F.concat_ws(", ", F.concat_ws(" ", F.col("c_custkey").cast("string"), F.col("c_mktsegment"), F.lit("Street")), F.lit("High Point"), F.lit("NC"))
     df = fx.table(spark, sf_dir, "customer").select("c_custkey", made.alias("business_address"), F.lit("US").alias("country"))
@@ -445,11 +446,48 @@ def percentile_profile(spark, sf_dir):
     return profile.percentiles(fx.table(spark, sf_dir, "part"), "p_retailprice", [0.1, 0.5, 0.9])
 
 
-@query(f"""WITH {P}, w AS (SELECT p.*, g.world FROM pairs p CROSS JOIN (SELECT unnest(range(0, 4)) AS world) g),
-h AS (SELECT world, s1, count(*) AS k, sum(CASE WHEN ((s1 * 131 + m * 7 + src) * 48271 + world * 7919) % 65537 < p * 65537 THEN 1 ELSE 0 END) AS t FROM w GROUP BY 1, 2)
-SELECT CAST(world AS INT) AS world, round(avg(CASE WHEN t = 0 THEN 0.0 ELSE 1.25 * t / (k + 0.25 * t) END), 6) AS f05, count(*) AS n FROM h GROUP BY 1""")
+_SETTINGS = [{"a": 1.0, "b": 0.0, "mu": 0.0}, {"a": 1.5, "b": -0.5, "mu": 0.25}]
+_UNIFORM = "(({key}) * 48271 + world * 7919 + 11) % 65537 / 65537.0"
+
+
+def _world_sql() -> str:
+    """Simulated worlds of half the scored pairs and two prediction sets: the table ``sim`` (setting, name, world, f05, singleton_rate)."""
+    logit = "ln(greatest(1e-6, least(1 - 1e-6, q)) / (1 - greatest(1e-6, least(1 - 1e-6, q))))"
+    term, total, sums = "exp(-rate)", "exp(-rate)", []
+    for k in range(1, 13):
+        sums.append(total)
+        term = f"({term}) * rate / {k}"
+        total = f"{total} + {term}"
+    poisson = " + ".join(f"CAST(u >= {x} AS INT)" for x in sums)
+    grid = ", ".join(f"({k}, {v['a']}, {v['b']}, {v['mu']})" for k, v in enumerate(_SETTINGS))
+    return f"""{P}, {O}, sets AS (SELECT 'sure' AS name, s1, m, src FROM owned WHERE p >= 0.75 UNION ALL SELECT 'all', s1, m, src FROM pairs WHERE p >= 0.4),
+scored AS (SELECT s1, m, src, p AS q, CASE WHEN m % 5 = 0 THEN 'odd' ELSE 'rest' END AS cls FROM pairs WHERE p >= 0.3), every AS (SELECT * FROM scored UNION ALL SELECT DISTINCT s1, m, src, 0.01, 'unscored' FROM sets WHERE (s1, m, src) NOT IN (SELECT (s1, m, src) FROM scored)),
+grid AS (SELECT * FROM (VALUES {grid}) g(setting, a, b, mu)), cal AS (SELECT s1, m, src, setting, 1 / (1 + exp(-(a * {logit} + b + CASE cls WHEN 'odd' THEN 1.0 ELSE 0.0 END))) AS q FROM every CROSS JOIN grid),
+nrm AS (SELECT s1, m, src, setting, round(q / greatest(1.0, sum(q) OVER (PARTITION BY setting, m, src)), 9) AS q FROM cal), cum AS (SELECT *, round(sum(q) OVER (PARTITION BY setting, m, src ORDER BY s1 ROWS UNBOUNDED PRECEDING), 9) AS e FROM nrm),
+worlds AS (SELECT unnest(range(0, 3)) AS world), tru AS (SELECT s1, m, src, setting, world FROM cum CROSS JOIN worlds WHERE {_UNIFORM.format(key="m * 4 + src")} >= round(e - q, 9) AND {_UNIFORM.format(key="m * 4 + src")} < e),
+ids AS (SELECT DISTINCT s1 FROM pairs), t0 AS (SELECT s1, setting, mu, world, coalesce(t, 0) AS t FROM ids CROSS JOIN grid CROSS JOIN worlds LEFT JOIN (SELECT setting, world, s1, count(*) AS t FROM tru GROUP BY 1, 2, 3) c USING (setting, world, s1)),
+t1 AS (SELECT *, mu * t / greatest(1e-9, avg(t) OVER (PARTITION BY setting, world)) AS rate, {_UNIFORM.format(key="s1 * 31 + 5")} AS u FROM t0), cnt AS (SELECT setting, world, s1, t + CASE WHEN mu > 0 THEN {poisson} ELSE 0 END AS n_true FROM t1),
+prd AS (SELECT name, s1, count(*) AS n_pred FROM sets GROUP BY 1, 2), hit AS (SELECT setting, world, name, s1, count(*) AS tp FROM sets JOIN tru USING (s1, m, src) GROUP BY 1, 2, 3, 4),
+whole AS (SELECT setting, world, name, n_true, coalesce(n_pred, 0) AS n_pred, coalesce(tp, 0) AS tp FROM cnt CROSS JOIN (SELECT DISTINCT name FROM sets) n LEFT JOIN prd USING (name, s1) LEFT JOIN hit USING (setting, world, name, s1)),
+sim AS (SELECT CAST(setting AS INT) AS setting, name, CAST(world AS INT) AS world, round(avg(CASE WHEN n_true = 0 AND n_pred = 0 THEN 1.0 WHEN tp = 0 THEN 0.0 ELSE 1.25 * tp / (n_pred + 0.25 * n_true) END), 6) AS f05,
+  round(avg(CASE WHEN n_true = 0 THEN 1.0 ELSE 0.0 END), 6) AS singleton_rate FROM whole GROUP BY 1, 2, 3)"""
+
+
+def _worlds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = fx.pairs(spark, sf_dir)
+    scored = p.filter("p >= 0.3").select("s1", "m", "src", F.col("p").alias("q"), F.when(F.col("m") % 5 == 0, "odd").otherwise("rest").alias("cls"))
+    return sampling.simulate(scored, p.select("s1"), {"sure": decision.threshold(p, 0.75), "all": p.filter("p >= 0.4")}, 3, _SETTINGS, {"odd": 1.0})
+
+
+@query(f"WITH {_world_sql()} SELECT * FROM sim")
 def simulate_expected_f(spark, sf_dir):
-    return sampling.simulate(fx.pairs(spark, sf_dir), 4, F.col("s1") * 131 + F.col("m") * 7 + F.col("src"))
+    return _worlds(spark, sf_dir)
+
+
+@query(f"""WITH {_world_sql()}, mean AS (SELECT setting, name, avg(f05) AS f05 FROM sim GROUP BY 1, 2)
+SELECT setting, round(sum(pow((f05 - CASE name WHEN 'sure' THEN 0.5 ELSE 0.4 END) / CASE name WHEN 'sure' THEN 0.01 ELSE 0.05 END, 2)), 6) AS loss FROM mean GROUP BY 1""")
+def fitted_settings(spark, sf_dir):
+    return sampling.fit_settings(_worlds(spark, sf_dir), {"sure": (0.5, 0.01), "all": (0.4, 0.05)})
 
 
 @query(f"""WITH {P}, k AS (SELECT *, (s1 + m) % 3 AS kind, p AS pf FROM pairs) SELECT kind, count(*) AS n FROM k WHERE pf >= 0.02 AND pf >= 0.1 AND pf < 1.0 AND NOT (kind IN (0, 1) AND p >= 0.95) GROUP BY 1""")
@@ -480,7 +518,7 @@ def oof_scores(spark, sf_dir):
 # ---- raw addresses, names of pairs, contexts
 
 
-@query()
+@query("SELECT c_custkey, CASE WHEN c_custkey % 4 = 2 THEN '' ELSE CAST(c_custkey AS VARCHAR) END AS house_no FROM customer")
 def house_numbers(spark, sf_dir):
     """Made addresses in four layouts, so that both passes and each exclusion are met."""
     key = F.col("c_custkey").cast("string")
@@ -490,17 +528,6 @@ def house_numbers(spark, sf_dir):
     return fx.table(spark, sf_dir, "customer").select("c_custkey", house.house_number(made, land).alias("house_no"))
 
 
-@query()
-def name_differences(spark, sf_dir):
-    named = fx.records(spark, sf_dir).select("rid", "country", F.lower("name_key").alias("name_core"))
-    pairs = _name_pairs(spark, sf_dir).withColumn("country", F.lit("all")).withColumn("d", similarity.name_difference(F.lower("a"), F.lower("b"), F.lit("")))
-    both = pairs.select("a", "b", "country", "d.*", house.is_acronym(F.lower("a"), F.lower("a"), F.lower("b")).alias("n_acr"))
-    frequency = features.token_bucket(named.withColumn("country", F.lit("all")), "country", "name_core")
-    rare = features.token_rarity(features.token_rarity(both, ["a", "b"], "missing", frequency, "nm_miss1_df"), ["a", "b"], "extra", frequency, "nm_extra2_df")
-    miss, extra = F.size("missing"), F.size("extra")
-    return rare.select("a", "b", miss.alias("nm_miss1"), extra.alias("nm_extra2"), ((miss > 0) & (extra > 0)).cast("int").alias("nm_subst"), "nm_miss1_df", "nm_extra2_df", "n_acr")
-
-
 @query(f"""WITH {P}, {O}, rec AS (SELECT m, src, max(p) AS x_rec_pmax, count(CASE WHEN p >= 0.5 THEN 1 END) AS x_rec_nconf FROM pairs GROUP BY 1, 2),
 ent AS (SELECT s1, count(CASE WHEN p >= 0.75 THEN 1 END) AS x_s1_nsel, max(p) AS x_s1_pmax FROM owned GROUP BY 1)
 SELECT s1, m, src, x_rec_pmax, x_rec_nconf, coalesce(x_s1_nsel, 0) AS x_s1_nsel, coalesce(x_s1_pmax, 0.0) AS x_s1_pmax, count(*) OVER (PARTITION BY s1) AS x2_s1_n
@@ -594,9 +621,130 @@ def hard_positives(spark, sf_dir):
     return sampling.hard_positives(fx.truth(spark, sf_dir), cands, ["s1", "m", "src"], F.col("s1") * 131 + F.col("m"), 0.25)
 
 
-@query()
+@query("""SELECT lang, CASE WHEN ord(ch) BETWEEN 192 AND 591 AND ord(ch) NOT IN (215, 247) THEN 'LATIN' ELSE 'OTHER' END AS script, count(*) AS n, count(DISTINCT ch) AS n_chars
+FROM (SELECT lang, unnest(string_split(text, '')) AS ch FROM documents) z WHERE ord(ch) > 127 GROUP BY 1, 2""")
 def script_inventory(spark, sf_dir):
     return profile.scripts(fx.table(spark, sf_dir, "documents"), "text", ["lang"])
 
 
+# ---- reports
+
+
+@query("SELECT lang, source, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY lang), 6) AS share FROM documents GROUP BY 1, 2")
+def cross_tabulation(spark, sf_dir):
+    return profile.cross_tab(fx.table(spark, sf_dir, "documents"), "lang", "source")
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS name, count(*) AS n, count(DISTINCT {c}) AS n_unique, count(*) FILTER ({c} IS NULL) AS n_null FROM customer" for c in ("c_name", "c_nationkey", "c_mktsegment")))
+def value_profile(spark, sf_dir):
+    return profile.value_counts(fx.table(spark, sf_dir, "customer"), ["c_name", "c_nationkey", "c_mktsegment"])
+
+
+@query(f"""WITH {_KNN_SQL.format(q='=', p='<>', k=6)}, t AS (SELECT qid, pid FROM knn WHERE (qid + pid) % 4 = 0), ids AS (SELECT vec_id AS qid, CAST(label AS VARCHAR) AS country FROM embeddings WHERE vec_id % 3 = 0),
+c AS (SELECT qid, pid FROM knn WHERE rank <= 3), s AS (SELECT i.qid, country, coalesce(nt, 0) AS nt, coalesce(tp, 0) AS tp, coalesce(nc, 0) AS nc FROM ids i LEFT JOIN (SELECT qid, count(*) AS nt FROM t GROUP BY 1) a USING (qid)
+  LEFT JOIN (SELECT qid, count(*) AS tp FROM t JOIN c USING (qid, pid) GROUP BY 1) b USING (qid) LEFT JOIN (SELECT qid, count(*) AS nc FROM c GROUP BY 1) d USING (qid))
+SELECT country, round(sum(tp) / sum(nt), 6) AS pair_recall, round(sum(nc) / count(*), 6) AS cands_per_entity FROM s GROUP BY 1 HAVING sum(nt) > 0 AND sum(tp) > 0 AND sum(nc) > 0""")
+def blocking_by_country(spark, sf_dir):
+    k = _knn(spark, sf_dir, False, 6)
+    ids = fx.table(spark, sf_dir, "embeddings").filter("vec_id % 3 = 0").select(F.col("vec_id").alias("qid"), F.col("label").cast("string").alias("country"))
+    return evaluate.blocking_by_country(k.filter("rank <= 3"), k.filter("(qid + pid) % 4 = 0"), ids, "qid", ["pid"])
+
+
+@query(f"""WITH {R}, ids AS (SELECT rid AS s1, country FROM records WHERE src = 1), c AS (SELECT s1, b.rid AS m, b.src FROM ids JOIN (SELECT * FROM records WHERE src <> 1) b USING (country) WHERE (s1 + b.rid) % 7 = 0),
+t AS (SELECT s1, m, src FROM c WHERE (s1 * 3 + m) % 5 = 0 UNION SELECT s1, b.rid, b.src FROM ids JOIN (SELECT * FROM records WHERE src <> 1) b USING (country) WHERE (s1 + b.rid) % 101 = 1),
+s AS (SELECT i.s1, coalesce(nt, 0) AS nt, coalesce(tp, 0) AS tp, coalesce(nc, 0) AS nc FROM ids i LEFT JOIN (SELECT s1, count(*) AS nt FROM t GROUP BY 1) a USING (s1)
+  LEFT JOIN (SELECT s1, count(*) AS tp FROM t JOIN c USING (s1, m, src) GROUP BY 1) b USING (s1) LEFT JOIN (SELECT s1, count(*) AS nc FROM c GROUP BY 1) d USING (s1))
+SELECT round(sum(tp) / sum(nt), 6) AS pair_recall, round(avg(CASE WHEN nt > 0 THEN CASE WHEN tp = nt THEN 1.0 ELSE 0.0 END END), 6) AS entity_full_recall, round(avg(CASE WHEN nt = 0 AND tp = 0 THEN 1.0 WHEN tp = 0 THEN 0.0 ELSE 1.25 * tp / (tp + 0.25 * nt) END), 6) AS oracle_f05,
+  round(avg(nc), 6) AS cands_per_entity, CAST(sum(nc) AS BIGINT) AS n_cand_pairs, round(1 - sum(nc) / (SELECT sum(a.n * b.n) FROM (SELECT country, count(*) AS n FROM ids GROUP BY 1) a JOIN (SELECT country, count(*) AS n FROM records WHERE src <> 1 GROUP BY 1) b USING (country)), 6) AS reduction_ratio FROM s""")
+def blocking_reduction(spark, sf_dir):
+    r = fx.records(spark, sf_dir)
+    ids, rest = r.filter("src = 1").select(F.col("rid").alias("s1"), "country"), r.filter("src <> 1").select(F.col("rid").alias("m"), "src", "country")
+    both = ids.join(rest, "country").select("s1", "m", "src")
+    cands = both.filter("(s1 + m) % 7 = 0")
+    truth = cands.filter("(s1 * 3 + m) % 5 = 0").unionByName(both.filter("(s1 + m) % 101 = 1"))
+    return evaluate.blocking_report(cands, truth, ids, "s1", ["m", "src"], rest.groupBy("country").agg(F.count("*").alias("n")))
+
+
+@query(f"WITH {P}, {O}, s AS (SELECT s1, m, src FROM owned WHERE p >= 0.75) SELECT count(*) AS selected, count(*) FILTER ((s1 + m) % 3 = 0 AND m % 2 = 0) AS outside, count(*) FILTER ((s1 + m) % 3 = 0 AND m % 2 = 0) = 0 AS ok FROM s")
+def candidate_containment(spark, sf_dir):
+    p = fx.pairs(spark, sf_dir)
+    return evaluate.containment(_selected(spark, sf_dir), [p.filter("(s1 + m) % 3 <> 0"), p.filter("m % 2 = 1")])
+
+
+@query(f"""WITH {P}, {O}, e AS (SELECT DISTINCT s1, CASE WHEN s1 % 2 = 0 THEN 'X' ELSE 'Y' END AS country FROM pairs), f AS (SELECT country, p >= 0.75 AS o, p >= 0.85 OR s1 % 5 = 0 AS n FROM owned JOIN e USING (s1)),
+d AS (SELECT country, count(*) FILTER (n AND NOT o) AS added, count(*) FILTER (o AND NOT n) AS removed FROM f GROUP BY 1) SELECT country, c.n, coalesce(added, 0) AS added, coalesce(removed, 0) AS removed, round(1000 * coalesce(added, 0) / c.n, 6) AS added_per_1k,
+  round(1000 * coalesce(removed, 0) / c.n, 6) AS removed_per_1k FROM (SELECT country, count(*) AS n FROM e GROUP BY 1) c LEFT JOIN d USING (country)""")
+def submission_diff_rate(spark, sf_dir):
+    owned = decision.one_owner(fx.pairs(spark, sf_dir))
+    entities = fx.pairs(spark, sf_dir).select("s1").distinct().withColumn("country", F.when(F.col("s1") % 2 == 0, "X").otherwise("Y"))
+    return evaluate.diff_rate(owned.filter("p >= 0.75"), owned.filter("p >= 0.85 OR s1 % 5 = 0"), entities, ["s1", "m", "src"])
+
+
+@query(f"""WITH {P}, {T_}, l AS (SELECT p.p AS q, CASE WHEN t.s1 IS NULL THEN 0 ELSE 1 END AS y FROM pairs p LEFT JOIN truth t USING (s1, m, src)), c AS (SELECT *, greatest(1e-15, least(1 - 1e-15, q)) AS z FROM l)
+SELECT count(*) AS n, round(avg(-(y * ln(z) + (1 - y) * ln(1 - z))), 6) AS log_loss, round(avg(CASE WHEN CAST(q >= 0.5 AS INT) = y THEN 1.0 ELSE 0.0 END), 6) AS accuracy, round(avg((q - y) * (q - y)), 6) AS brier, round(avg(y), 6) AS positive_rate FROM c""")
+def classification_metrics(spark, sf_dir):
+    keys = ["s1", "m", "src"]
+    return evaluate.class_metrics(fx.pairs(spark, sf_dir).join(fx.truth(spark, sf_dir).withColumn("label", F.lit(1)), keys, "left").withColumn("label", F.coalesce("label", F.lit(0))))
+
+
+@query(f"""WITH {_SCORES_SQL}, sl AS (SELECT *, unnest(list_filter([CASE WHEN s1 % 2 = 0 THEN 'even' END, CASE WHEN n_true > 1 THEN 'crowded' END, 'all'], lambda x: x IS NOT NULL)) AS slice FROM ff) SELECT slice, {_SUMMARY} FROM sl GROUP BY 1""")
+def f05_by_slice(spark, sf_dir):
+    return evaluate.sliced(_entity_scores(spark, sf_dir), {"even": F.col("s1") % 2 == 0, "crowded": F.col("n_true") > 1, "all": F.lit(True)})
+
+
+@query(f"""WITH {P}, r AS (SELECT *, CASE s1 % 3 WHEN 0 THEN 'X' WHEN 1 THEN 'Y' ELSE 'Z' END AS country, row_number() OVER (PARTITION BY m, src ORDER BY p DESC, s1) AS k FROM pairs),
+b AS (SELECT *, coalesce(max(CASE WHEN k = 2 THEN p END) OVER (PARTITION BY m, src), 0.0) AS p2 FROM r) SELECT s1, m, src, p, country, p2 FROM b WHERE k = 1 AND p >= CASE country WHEN 'X' THEN 0.5 WHEN 'Y' THEN 0.9 END AND p2 < 0.95""")
+def contested_by_country(spark, sf_dir):
+    p = fx.pairs(spark, sf_dir).withColumn("country", F.element_at(F.array(F.lit("X"), F.lit("Y"), F.lit("Z")), (F.col("s1") % 3 + 1).cast("int")))
+    return decision.drop_contested(p, {"X": 0.5, "Y": 0.9}, 0.95)
+
+
+_MAIN = "main AS (SELECT s1, m, src, p FROM pairs WHERE (s1 + m) % 3 <> 0), ext AS (SELECT s1, m, src, round(p * p, 6) AS p FROM pairs WHERE m % 2 = 0), ext2 AS (SELECT s1, m, src, round(1 - p, 6) AS p FROM pairs WHERE m % 5 = 0)"
+
+
+def _tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    p = fx.pairs(spark, sf_dir)
+    return p.filter("(s1 + m) % 3 <> 0"), p.filter("m % 2 = 0").withColumn("p", F.round(F.col("p") * F.col("p"), 6)), p.filter("m % 5 = 0").withColumn("p", F.round(1 - F.col("p"), 6))
+
+
+@query(f"""WITH {P}, {_MAIN}, u AS (SELECT *, 0 AS kind FROM main UNION ALL SELECT *, 1 FROM ext WHERE (s1, m, src) NOT IN (SELECT (s1, m, src) FROM main) UNION ALL
+  SELECT *, 2 FROM ext2 WHERE (s1, m, src) NOT IN (SELECT (s1, m, src) FROM main) AND (s1, m, src) NOT IN (SELECT (s1, m, src) FROM ext)) SELECT s1, m, src, p, kind, CASE WHEN s1 % 4 = 0 THEN p / 2 ELSE p END AS pf FROM u""")
+def score_frame_build(spark, sf_dir):
+    main, ext, ext2 = _tables(spark, sf_dir)
+    plain = io.score_frame(main, (ext, 1), (ext2, 2))
+    return io.score_frame(main, (ext, 1), (ext2, 2), blended=plain.filter("s1 % 4 = 0").withColumn("pb", F.col("p") / 2))
+
+
+@query(f"""WITH {P}, {T_}, {_MAIN} SELECT s1, m, src, (s1 * 7 + m) % 10 AS f, p, CASE WHEN t.s1 IS NULL THEN 0 ELSE 1 END AS label FROM main LEFT JOIN truth t USING (s1, m, src) WHERE p >= 0.4""")
+def refiner_rows(spark, sf_dir):
+    main, _, _ = _tables(spark, sf_dir)
+    return io.refiner_rows(main.select("s1", "m", "src", ((F.col("s1") * 7 + F.col("m")) % 10).alias("f")), main, 0.4, fx.truth(spark, sf_dir))
+
+
+@query(f"""WITH {P}, {_MAIN} SELECT s1, m, src, p, 0 AS is_ext FROM main UNION ALL SELECT s1, m, src, p, 1 FROM ext WHERE p >= 0.02 AND (s1, m, src) NOT IN (SELECT (s1, m, src) FROM main)""")
+def joint_rows(spark, sf_dir):
+    main, ext, _ = _tables(spark, sf_dir)
+    return io.joint_rows(main, ext, ["p"])
+
+
+@query(f"""WITH {P}, {_MAIN}, i AS (SELECT DISTINCT s1 FROM pairs), u AS (SELECT s1, m, src FROM ext UNION SELECT s1, m, src FROM ext2), l AS (SELECT s1, string_agg('S' || src || '-' || m, ',' ORDER BY 'S' || src || '-' || m) AS v FROM u GROUP BY 1)
+SELECT 'S1-' || s1 AS source1_entity_id, coalesce(v, '') AS candidate_entity_ids FROM i LEFT JOIN l USING (s1)""")
+def candidate_lists(spark, sf_dir):
+    _, ext, ext2 = _tables(spark, sf_dir)
+    return io.candidate_lists(fx.pairs(spark, sf_dir).select("s1").distinct(), ext, ext2)
+
+
+@query(f"""WITH {P}, {_MAIN}, c AS (SELECT s1, CASE WHEN s1 % 2 = 0 THEN 'X' ELSE 'Y' END AS country FROM (SELECT DISTINCT s1 FROM pairs WHERE s1 % 7 <> 0) z)
+SELECT s1, m, src, p AS score, country FROM main JOIN c USING (s1) UNION ALL SELECT s1, m, src, NULL, country FROM ext JOIN c USING (s1) WHERE (s1, m, src) NOT IN (SELECT (s1, m, src) FROM main)""")
+def neighbour_union(spark, sf_dir):
+    main, ext, _ = _tables(spark, sf_dir)
+    countries = fx.pairs(spark, sf_dir).filter("s1 % 7 <> 0").select("s1").distinct().withColumn("country", F.when(F.col("s1") % 2 == 0, "X").otherwise("Y"))
+    return io.add_neighbours(main.withColumnRenamed("p", "score").join(countries, "s1"), ext, countries)
+
+
+@query("SELECT c_custkey FROM customer WHERE (c_custkey * 48271 + 11) % 65537 < 13107")
+def row_sample(spark, sf_dir):
+    return sampling.sample_rows(fx.table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", share=0.2)
+
+
 from ledgerlink.plans import pair_catalogue  # noqa: E402, F401  (adds its queries)

@@ -203,6 +203,21 @@ def _frequency(e: DataFrame) -> DataFrame:
     return features.token_bucket(e, "country", "name_core")
 
 
+@query(f"""WITH {L}, names AS (SELECT DISTINCT name_core AS a, country FROM rec), nd AS (SELECT x.a || '~' || y.a AS s1, country AS m, 0 AS src, country, x.a, y.a AS b, '' AS alias FROM names x JOIN names y USING (country) WHERE x.a < y.a AND x.a[1] = y.a[1]), {_DIFF}
+SELECT country, a, b, coalesce(miss, 0) AS nm_miss1, coalesce(extra, 0) AS nm_extra2, CAST(coalesce(miss, 0) > 0 AND coalesce(extra, 0) > 0 AS INT) AS nm_subst, coalesce(miss_df, -1) AS nm_miss1_df, coalesce(extra_df, -1) AS nm_extra2_df, {_acronym("a", "a", "b")} AS n_acr
+FROM nd LEFT JOIN df USING (s1, m, src)""")
+def name_differences(spark, sf_dir):
+    from ledgerlink.functions import house, similarity
+
+    names = fx.linkage(spark, sf_dir, "rec").select("country", F.col("name_core").alias("a")).distinct().withColumn("one", F.substring("a", 1, 1))
+    both = names.join(names.withColumnRenamed("a", "b"), ["country", "one"]).filter("a < b").drop("one")
+    both = both.withColumn("d", similarity.name_difference(F.col("a"), F.col("b"), F.lit(""))).select("country", "a", "b", "d.*", house.is_acronym(F.col("a"), F.col("a"), F.col("b")).alias("n_acr"))
+    frequency = _frequency(fx.linkage(spark, sf_dir, "rec", "src = 1"))
+    rare = features.token_rarity(features.token_rarity(both, ["country", "a", "b"], "missing", frequency, "nm_miss1_df"), ["country", "a", "b"], "extra", frequency, "nm_extra2_df")
+    miss, extra = F.size("missing"), F.size("extra")
+    return rare.select("country", "a", "b", miss.alias("nm_miss1"), extra.alias("nm_extra2"), ((miss > 0) & (extra > 0)).cast("int").alias("nm_subst"), "nm_miss1_df", "nm_extra2_df", "n_acr")
+
+
 @query(f"WITH {L}, {WIDE}, {_SIBLING} SELECT * FROM sib")
 def sibling_features(spark, sf_dir):
     e, r = _sides(spark, sf_dir)
@@ -438,7 +453,7 @@ def extension_keys(spark, sf_dir):
 # ---- thresholds and frames
 
 _GRID = [round(0.2 + 0.05 * k, 2) for k in range(15)]
-_CURVE = f"""g AS (SELECT unnest({_GRID}) AS threshold), ids AS (SELECT s1, coalesce(n, 0) AS n_true FROM (SELECT DISTINCT s1 FROM pairs) i LEFT JOIN (SELECT s1, count(*) AS n FROM truth GROUP BY 1) t USING (s1)),
+_CURVE = f"""g AS (SELECT unnest(CAST({_GRID} AS DOUBLE[])) AS threshold), ids AS (SELECT s1, coalesce(n, 0) AS n_true FROM (SELECT DISTINCT s1 FROM pairs) i LEFT JOIN (SELECT s1, count(*) AS n FROM truth GROUP BY 1) t USING (s1)),
 h AS (SELECT threshold, s1, count(*) AS n_pred, count(t.m) AS tp FROM owned JOIN g ON p >= threshold LEFT JOIN truth t USING (s1, m, src) GROUP BY 1, 2),
 x AS (SELECT threshold, s1, n_true, coalesce(n_pred, 0) AS n_pred, coalesce(tp, 0) AS tp FROM ids CROSS JOIN g LEFT JOIN h USING (threshold, s1)),
 curve AS (SELECT threshold, round(avg(CASE WHEN n_true = 0 AND n_pred = 0 THEN 1.0 WHEN tp = 0 THEN 0.0 ELSE 1.25 * tp / (n_pred + 0.25 * n_true) END), 6) AS f05, round(avg(CASE WHEN n_pred > 0 THEN tp / n_pred END), 6) AS macro_p,
@@ -477,3 +492,34 @@ def probe_frame(spark, sf_dir):
 def replaced_rows(spark, sf_dir):
     p = fx.pairs(spark, sf_dir)
     return decision.replace_rows(decision.threshold(p, 0.75).select(*KEYS), p.filter("p >= 0.95").select(*KEYS), p.filter("s1 % 4 = 0").select("s1"))
+
+
+_RATED = ["name_core", "addr_state", "addr_house_no"]
+
+
+def _rates(c: str) -> str:
+    both = f"NOT addr_empty_2 AND {c}_1 <> '' AND {c}_2 <> ''"
+    return f"round(avg(CAST({c}_1 = {c}_2 AS INT)), 6) AS {c}_eq, round(avg(CASE WHEN {both} THEN CAST({c}_1 = {c}_2 AS INT) END), 6) AS {c}_eq_both, round(avg(CASE WHEN NOT addr_empty_2 AND {c}_1 <> '' THEN CAST({c}_2 = '' AS INT) END), 6) AS {c}_missing_2"
+
+
+@query(f"WITH {L}, {WIDE} SELECT country, count(*) AS n, {', '.join(_rates(c) for c in _RATED)} FROM wide GROUP BY 1")
+def agreement_rates(spark, sf_dir):
+    from ledgerlink.operators import profile
+
+    e, r = _sides(spark, sf_dir)
+    wide = pairs.beside(fx.linkage(spark, sf_dir, "cand"), e, r)
+    return profile.agreement(wide, _RATED, ["country"], ~F.col("addr_empty_2"))
+
+
+@query(f"""WITH {L}, {_FRAME}, tied AS (SELECT rid AS m, src FROM rec WHERE src <> 1 AND addr_empty AND (country, name_key) IN (SELECT (country, name_key) FROM rec WHERE src = 1 GROUP BY country, name_key HAVING count(*) >= 2))
+SELECT * FROM frame WHERE (m, src) NOT IN (SELECT (m, src) FROM tied)""")
+def drop_empty_ties(spark, sf_dir):
+    e, r = _sides(spark, sf_dir)
+    return decision.drop_empty_ties(_frame(spark, sf_dir), e, r.withColumnRenamed("rid", "m"))
+
+
+@query(f"WITH {L} SELECT 'S' || src || '-' || rid AS entity_id, country, name_norm || ' | ' || substr(addr_norm, 1, 90) AS text FROM rec")
+def embedding_texts(spark, sf_dir):
+    from ledgerlink.sources import records as io
+
+    return io.embedding_text_long(fx.linkage(spark, sf_dir, "rec").withColumn("entity_id", io.string_id(F.col("src"), F.col("rid"))))
