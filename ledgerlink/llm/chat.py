@@ -13,10 +13,12 @@ each piece is reduced to one max-plus matrix, the matrices are scanned, and the
 pieces are then decoded by themselves between the states that the scan fixed:
 the path is the same as if all rows had been in one place.
 
-Rows are ordered by turn, null turns first; rows that tie follow their text,
-and repeated rows follow each other.  Rows with a null conversation id are one
-conversation.  A null or empty text is one empty line.  Ties between paths go
-to the role named first in ``ROLES``.
+Rows are ordered by turn, null turns first; rows that tie are ordered by their
+text's hash, then by marker and text, and repeated rows follow each other.  Rows
+with a null conversation id are one conversation.  A null or empty text is one
+empty line; very long texts are read whole.  Ties between paths go to the role
+named first in ``ROLES``.  An empty table gives no rows.  Other columns, whatever
+their names, are not looked at.
 """
 
 from __future__ import annotations

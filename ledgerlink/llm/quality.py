@@ -12,7 +12,9 @@ in each task first (at most ``CELLS`` rows a task), and the cells' weights come
 back as one array of fixed size.
 
 Null texts count as empty: no words, failed.  Repeated rows count each.  With
-no trusted document the ratio is 0 for all, so that the base rules decide.
+no trusted document the ratio is 0 for all, so that the base rules decide.  An
+empty table gives no rows.  Texts of any length are read whole.  Other columns,
+whatever their names, are not looked at.
 """
 
 from __future__ import annotations

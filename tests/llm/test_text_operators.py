@@ -167,6 +167,31 @@ def test_quality_base_counts(spark, docs, no_docs):
     assert quality.judge(docs, model).filter("NOT kept").count() == sum(not r.kept for r in got)
 
 
+def test_quality_ratio_equals_plain_python(spark, docs):
+    import xxhash
+
+    trusted = spark.createDataFrame([(3,), (5,), (7,)], "doc_id long")
+    of = lambda *words: _chained(xxhash.xxh64_intdigest, words) % quality.CELLS
+    rows = _rows(docs)
+    grams = {t: [of(w) for w in t.encode().split()] + [of(*x) for x in zip(t.encode().split(), t.encode().split()[1:], strict=False)] for _, t in rows if "\x00" not in t and "İ" not in t}
+    use = [(i, t) for i, t in rows if t in grams]
+    raw, good = Counter(c for _, t in use for c in grams[t]), Counter(c for i, t in use if i in (3, 5, 7) for c in grams[t])
+    n, m = sum(raw.values()), sum(good.values())
+    ratio = lambda c: math.log((good[c] + 1) / (m + quality.CELLS)) - math.log((raw[c] + 1) / (n + quality.CELLS))
+    own = docs.filter(~F.coalesce(F.col("text"), F.lit("")).contains("\x00"))
+    for r in quality.judge(own, quality.weights(own, trusted)).join(own.select("doc_id", "text").dropDuplicates(["doc_id"]), "doc_id").collect():
+        cells = grams[r.text or ""]
+        assert abs(r.llr - sum(map(ratio, cells)) / max(1, len(cells))) < 1e-5
+        assert r.kept == (not r.base_failed and r.llr >= quality.THRESHOLD)
+
+
+def _chained(digest, words):
+    h = 42
+    for w in words:
+        h = digest(w, h)
+    return h
+
+
 def test_quality_keeps_clean_documents(spark):
     d, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     judged = quality.judge(d, quality.weights(d, labels.filter("quality = 1"))).filter("NOT base_failed").join(labels, "doc_id")
@@ -190,6 +215,38 @@ def test_toxicity(spark, docs, no_docs):
     assert {r.score for r in toxicity.score(extra, blank).collect()} == {0.0}
 
 
+def test_toxicity_is_a_noisy_or_of_sentences(spark, docs):
+    weight = {"moron": 6.0, "hello": 2.5, "hell*": 1.0, "größe": 3.0, "grö*": 9.0, "größ*": 0.5, "x": -1.0, "a": 0.25}
+    model = toxicity.Model(weight, -4.0)
+
+    def sentence(s):
+        words = set(re.findall(r"\w+", s))
+        z = -4.0 + sum(weight.get(w, 0) + (weight.get(w[:4] + "*", 0) if len(w) > 4 else 0) for w in words)
+        return 1 / (1 + math.exp(-z))
+
+    extra = spark.createDataFrame([(50, "Hello. Hello! hello? What a moron\nhello"), (51, "hello. " * 30), (52, "... !!! ???"), (52, "a moron. a moron."), (None, "moron")], "doc_id long, text string")
+    every = docs.select("doc_id", "text").unionByName(extra)
+    want = []
+    for i, t in _rows(every):
+        parts = [sentence(p) for p in re.split(r"[.!?\n]", t.lower()) if re.search(r"\w", p)]
+        want.append((i, round(1 - math.prod(1 - p for p in parts), 6)))
+    got = toxicity.score(every, model).collect()
+    assert sorted(((r.doc_id, round(r.score, 6)) for r in got), key=str) == sorted(want, key=str)
+    assert all(r.predicted == (r.score >= 0.5) and (len(r.offending) > 0 or r.score < 0.5) for r in got)
+    doubtful = next(r for r in got if r.doc_id == 51)
+    assert doubtful.predicted == 1 and len(doubtful.offending) == 1 and doubtful.offending[0].score < toxicity.CUT
+
+
+def test_toxicity_fit_climbs_the_likelihood():
+    texts = [f"Item {k} of {'rotten' if k % 3 == 0 else 'green'} fruit. A day like others {k % 5}." for k in range(300)]
+    labels = [int(k % 3 == 0) for k in range(300)]
+    model = toxicity.fit(texts, labels)
+    values = toxicity._Values(model.weight)
+    loss = lambda w, b: -sum(math.log(max(1e-12, p if y else 1 - p)) for t, y in zip(texts, labels, strict=True) for p in [toxicity._scores(t, w, b)[0]])
+    assert loss(values, model.bias) < 0.2 * loss(toxicity._Values({}), toxicity.FIRST_BIAS)
+    assert model.weight["rotten"] > 0 and all(v <= model.weight["rotten"] for v in model.weight.values())
+
+
 def test_toxicity_skips_texts_that_do_not_fit(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 40_000)
     text = [f"Item {k} about {'a moron' if k % 4 == 0 else 'the garden'} here. Nice day number {k}. All is well." for k in range(400)]
@@ -237,6 +294,33 @@ def _brute_classes(sets, least=0.8):
     return {i: find(i) for i in sets}, {i: links[firsts[sets[i]]] if sets[i] else 0 for i in sets}
 
 
+def test_components_of_stars_and_chains(spark):
+    import random
+
+    from ledgerlink.llm import components
+
+    rng = random.Random(5)
+    edges = [(500, k) for k in range(5000) if k != 500] + [(9000, 6000 + k) for k in range(2000)] + [(10_000 + k, 10_001 + k) for k in range(200)] + [(4999, 6000), (7, 7), (20_001, 20_000), (20_000, 20_001), (None, 3)]
+    edges += [(30_000 + rng.randrange(3000), 30_000 + rng.randrange(3000)) for _ in range(1500)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and a != b:
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+    table = spark.createDataFrame(edges, "a long, b long")
+    assert {r.node: r.label for r in components.components(table).collect()} == {x: find(x) for x in root}
+    assert components.components(table.limit(0)).collect() == []
+    thin = components.without_hubs(table.filter("a = 500"), "a", "b")
+    most = thin.unionByName(thin.selectExpr("b AS a", "a AS b")).filter("a <> b").groupBy("a").count().agg(F.max("count")).first()[0]
+    assert most <= 3 * components.ROOTS
+
+
 def test_jaccard_equals_brute_force(spark):
     import random
 
@@ -256,6 +340,13 @@ def test_jaccard_equals_brute_force(spark):
     assert {i: r.n_links for i, r in got.items()} == links
 
 
+def test_jaccard_recall_on_documents(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r.doc_id: r for r in neardup.join(d).collect()}
+    classes, links = _brute_classes(_sets(_rows(d)))
+    assert {i: r.class_id for i, r in got.items()} == classes and {i: r.n_links for i, r in got.items()} == links
+
+
 def test_jaccard_odd_rows(docs, no_docs):
     got = neardup.join(docs).collect()
     assert len(got) == docs.count()
