@@ -22,7 +22,9 @@ root, and roots are joined across tasks.
 
 Texts without words are never linked, and are classes of their own; so are
 rows with a null id (class null).  Rows that repeat an id and a text are copies
-of each other; rows with one id and several texts are judged each.
+of each other; rows with one id and several texts are judged each.  An empty
+table gives no rows; texts of any length are taken whole; other columns, whatever
+their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -50,7 +52,7 @@ SKETCH = 64
 NEAR = 0.6  # of sketches, for a candidate at similarity 0.8
 PIVOT_LINK, PIVOT_LEAVE = 0.3, 0.65
 BLOCK = 128
-MEMORY = 400_000
+MEMORY = 100_000  # words whose hashes a worker remembers before it starts afresh
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)  # fixed values: multipliers of a public 64-bit finaliser
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
