@@ -32,6 +32,17 @@ def without_hubs(edges: DataFrame, hub: str, leaf: str) -> DataFrame:
     return outer.unionByName(inner).unionByName(roots.select(F.col("hub").alias("a"), F.col("top").alias("b")))
 
 
+def attach(rows: DataFrame, values: DataFrame, key: str, by: str = "node") -> DataFrame:
+    """``rows`` with the columns of ``values``, which has a row for each ``key``; a third of all rows may have one key.
+
+    A key's row is fetched once for each share of the rows that have it, dealt by
+    the column ``by``, so they are never in one task.
+    """
+    shared = rows.withColumn("__share", F.pmod(F.xxhash64(by), F.lit(SHARES)))
+    asked = shared.select(key, "__share").distinct().join(values, key)
+    return shared.join(asked.hint("merge"), [key, "__share"]).drop("__share")
+
+
 def _ordered(edges: DataFrame) -> DataFrame:
     return edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlink.llm.batches import slices
-from ledgerlink.llm.components import components
+from ledgerlink.llm.components import attach, components
 from ledgerlink.staging import stage, unstage
 
 WORDS = 5
@@ -323,7 +323,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simila
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(wanted.hint("merge"), "id").select("node", "digest", "label", "text")
     full = stage(texts.mapInArrow(whole, "node long, label long, tokens binary"), "full")
     sizes = stage(found.groupBy("label").agg(F.count("*").alias("n")), "sizes")
-    dealt = _blocks(full.join(sizes.hint("merge"), "label"), "label", "n", BLOCK).select("group", "lo", "hi", "own", "node", "tokens")
+    dealt = _blocks(attach(full, sizes, "label"), "label", "n", BLOCK).select("group", "lo", "hi", "own", "node", "tokens")
     checked = stage(dealt.repartition("group").sortWithinPartitions("group").mapInArrow(_verify(similarity), "node long, root long, links long"), "checked")
     unstage(full)
     linked = components(checked.select(F.col("node").alias("a"), F.col("root").alias("b")))
@@ -332,7 +332,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simila
     # classes by their least id
     named = linked.join(nodes.select(F.col("rep").alias("node"), "exact_id"), "node")
     least = named.groupBy("label").agg(F.min("exact_id").alias("class_id"))
-    of = stage(named.select("node", "label").join(least, "label").join(links, "node").select(F.col("node").alias("rep"), "class_id", "n_links"), "classes")
+    of = stage(attach(named.select("node", "label"), least, "label").join(links, "node").select(F.col("node").alias("rep"), "class_id", "n_links"), "classes")
     known = stage(nodes.join(of, "rep", "left").select("node", F.coalesce("class_id", "exact_id").alias("class_id"), "exact_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links")), "known")
     out = sets.select("id", "node").join(known.hint("merge"), "node", "left")
     return out.select(
