@@ -39,3 +39,16 @@ def test_pipeline_equals_plain_python(spark, tmp_path):
         want.append((i, len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256(t.encode()).hexdigest()))
     got = [tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
     assert len(want) == 16 and sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_quality_judges_rows_where_they_lie(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(k, _text(f"w{k}", 60 if k % 2 else 9), {"more": k}) for k in range(8)] + [(None, _text("none"), None), (1, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, further map<string,int>").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.drop_low_quality(spark, docs, str(tmp_path))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    assert out.schema == docs.schema and sorted(map(str, out.collect())) == sorted(map(str, docs.filter("doc_id % 2 = 1 AND text IS NOT NULL OR doc_id IS NULL").collect()))
